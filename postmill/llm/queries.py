@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import neardup, representative
+from postmill.llm import canonical, neardup, representative
 from postmill.session import read_table
 
 #: TESTDATA.md: adjacent words, similarity 0.75 or more, posts of 25 words or more.
@@ -39,8 +39,18 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representative.consolidated(read_table(spark, sf_dir, "processed_posts"), _copy_groups(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = canonical.map_values(read_table(spark, sf_dir, "processed_posts"), read_table(spark, sf_dir, "canonical_tags"))
+    return mapped.select(F.col("id").alias("idx"), F.col("value").alias("tag_raw"), "canon_id")
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.unmatched_values(read_table(spark, sf_dir, "processed_posts"), read_table(spark, sf_dir, "canonical_tags"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_records": p4_records}
+    return {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_records": p4_records,
+            "p5_found": p5_found, "p5_unmatched": p5_unmatched}
 
 
 def oracle_sql() -> dict[str, str]:
