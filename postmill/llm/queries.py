@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import canonical, neardup, representative
+from postmill.llm import bpe, canonical, neardup, representative
 from postmill.session import read_table
 
 #: TESTDATA.md: adjacent words, similarity 0.75 or more, posts of 25 words or more.
@@ -48,9 +48,14 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.unmatched_values(read_table(spark, sf_dir, "processed_posts"), read_table(spark, sf_dir, "canonical_tags"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_table(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_records": p4_records,
-            "p5_found": p5_found, "p5_unmatched": p5_unmatched}
+            "p5_found": p5_found, "p5_unmatched": p5_unmatched,
+            "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
