@@ -20,7 +20,7 @@ from postmill.llm.graph import connected_components
 from postmill.session import cut_lineage, ship_package
 
 WORDS = r"[\p{L}\p{M}\p{Nd}]+"
-#: Up to so many ids (8 MB) are sent to all executors to filter the texts that need verification; more are joined by shuffle.
+#: Up to so many ids (8 MB), counted first, are sent to all executors to filter by; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: A pair is verified if its sketch agrees in at least so many of the bits expected at the threshold, less this many deviations.
 SKETCH_DEVIATIONS = 4.0
@@ -73,10 +73,15 @@ def _elements(width: int):
     return run
 
 
+def _sent_if_small(ids: DataFrame) -> DataFrame:
+    """``ids`` with a broadcast hint where their number, counted first, is under the bound."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def _bits_needed(similarity: float) -> int:
     jaccard = similarity / (2 - similarity)
     p = (1 + jaccard) / 2
-    return math.floor(smh.SLOTS * p - SKETCH_DEVIATIONS * math.sqrt(smh.SLOTS * p * (1 - p)))
+    return math.floor(smh.SKETCH_BITS * p - SKETCH_DEVIATIONS * math.sqrt(smh.SKETCH_BITS * p * (1 - p)))
 
 
 def duplicate_links(
@@ -86,8 +91,8 @@ def duplicate_links(
 
     members: ``id, rep`` with rep the smallest id of the texts with the same words. links: ``a, b, sim`` with
     a < b, both of them reps, and sim twice the shared shingles (with repeats) over all shingles of both.
-    Rows with a null id or text, or fewer than ``min_words`` or ``width`` words, are in neither. The same id twice
-    counts once if the texts agree. Other columns of ``df`` are ignored, whatever their names.
+    Rows with a null id or text, or fewer than ``min_words`` or ``width`` words, are in neither. A row that is
+    there twice counts once; ids are otherwise taken to be unique. Other columns of ``df`` are ignored, whatever their names.
     """
     ship_package(df.sparkSession)
     posts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
@@ -99,8 +104,8 @@ def duplicate_links(
     )
     classes = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     members = cut_lineage(signed.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "rep").distinct())
-    alone = members.where("id = rep").select("id")
-    reps = signed.drop("k1", "k2").dropDuplicates(["id"]).join(alone, "id", "left_semi")
+    copies = members.where("id <> rep").select("id")
+    reps = signed.drop("k1", "k2", "n").join(_sent_if_small(copies), "id", "left_anti")
     bands = reps.select("id", F.posexplode("keys").alias("band", "key")).select(
         "id", (F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("key").cast("bigint")).alias("key")
     )
@@ -112,7 +117,7 @@ def duplicate_links(
         .distinct()
     )
     small = reps.select("id", "s1", "s2")
-    agree = smh.SLOTS - F.bit_count(F.col("p.s1").bitwiseXOR(F.col("q.s1"))) - F.bit_count(F.col("p.s2").bitwiseXOR(F.col("q.s2")))
+    agree = smh.SKETCH_BITS - F.bit_count(F.col("p.s1").bitwiseXOR(F.col("q.s1"))) - F.bit_count(F.col("p.s2").bitwiseXOR(F.col("q.s2")))
     likely = cut_lineage(
         met.join(small.alias("p"), F.col("a") == F.col("p.id"))
         .join(small.alias("q"), F.col("b") == F.col("q.id"))
@@ -120,10 +125,11 @@ def duplicate_links(
         .select("a", "b")
     )
     involved = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if involved.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        involved = F.broadcast(involved)
     elements = (
-        words.join(involved, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_elements(width), "id bigint, elements array<bigint>")
+        posts.join(_sent_if_small(involved), "id", "left_semi")
+        .select("id", word_hashes(F.col("text")).alias("words"))
+        .where(F.size("words") >= least)
+        .mapInArrow(_elements(width), "id bigint, elements array<bigint>")
     )
     shared = F.size(F.array_intersect("x.elements", "y.elements"))
     sim = 2.0 * shared / (F.size("x.elements") + F.size("y.elements"))
@@ -132,6 +138,7 @@ def duplicate_links(
         .join(elements.alias("y"), F.col("b") == F.col("y.id"))
         .select("a", "b", sim.alias("sim"))
         .where(F.col("sim") >= similarity)
+        .distinct()
     )
     return members, cut_lineage(links)
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
-SLOTS = 128
-ROWS_PER_BAND = 4
+SLOTS = 200
+ROWS_PER_BAND = 5
+SKETCH_BITS = 128
 BANDS = SLOTS // ROWS_PER_BAND
 _DRAW_BITS = 24
 _PERMUTATIONS = 2048
@@ -84,12 +85,13 @@ def signatures(elements: np.ndarray, document: np.ndarray, documents: int) -> np
 def _fill(elements: np.ndarray, document: np.ndarray, out: np.ndarray) -> None:
     table = _permutations()
     row = (elements & np.uint64(_PERMUTATIONS - 1)).astype(np.int32)
-    turn = ((elements >> np.uint64(12)) & np.uint64(SLOTS - 1)).astype(np.int32)
+    turn = ((elements >> np.uint64(12)) % np.uint64(SLOTS)).astype(np.int32)
     base = document * SLOTS
     state = mix(elements)
     slots = out.reshape(-1, SLOTS)
     for rank in range(SLOTS):
-        slot = (table[row, rank] + turn) & (SLOTS - 1)
+        slot = table[row, rank] + turn
+        slot[slot >= SLOTS] -= SLOTS
         draw = (state >> np.uint64(64 - _DRAW_BITS)).astype(np.int32) | np.int32(rank << _DRAW_BITS)
         np.minimum.at(out, base + slot, draw)
         open_documents = slots.max(axis=1) >= np.int32(min((rank + 1) << _DRAW_BITS, int(_EMPTY)))
@@ -110,7 +112,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One bit of each slot, packed in two 64-bit words; equal bits estimate (1 + Jaccard) / 2."""
-    bit = (mix(signature.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    """One bit of each of the first slots, packed in two 64-bit words; equal bits estimate (1 + Jaccard) / 2."""
+    bit = (mix(signature[:, :SKETCH_BITS].astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
     packed = np.packbits(bit, axis=1).view(">u8").astype(np.uint64).view(np.int64)
     return packed[:, 0].copy(), packed[:, 1].copy()
