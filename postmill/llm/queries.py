@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, canonical, neardup, representative
+from postmill.llm import bpe, canonical, neardup, pii, representative
 from postmill.session import read_table
 
 #: TESTDATA.md: adjacent words, similarity 0.75 or more, posts of 25 words or more.
@@ -48,6 +48,15 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.unmatched_values(read_table(spark, sf_dir, "processed_posts"), read_table(spark, sf_dir, "canonical_tags"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.kinds_found(read_table(spark, sf_dir, "raw_posts"))
+    return found.select(F.col("id").alias("idx"), F.col("kind").alias("pii_kind"))
+
+
+def p7_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask_table(read_table(spark, sf_dir, "raw_posts")).withColumnRenamed("id", "idx")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -55,7 +64,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_records": p4_records,
             "p5_found": p5_found, "p5_unmatched": p5_unmatched,
-            "p8_ids": p8_ids}
+            "p7_found": p7_found, "p7_masked": p7_masked, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
