@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, canonical, neardup, pii, representative
+from postmill.llm import bpe, canonical, mojibake, neardup, pii, representative
 from postmill.session import read_table
 
 #: TESTDATA.md: adjacent words, similarity 0.75 or more, posts of 25 words or more.
 POST_COPIES = {"width": 2, "similarity": 0.75, "min_words": 25}
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.damaged_ids(read_table(spark, sf_dir, "raw_posts")).withColumnRenamed("id", "idx")
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired_table(read_table(spark, sf_dir, "raw_posts")).withColumnRenamed("id", "idx")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, links = neardup.duplicate_links(read_table(spark, sf_dir, "processed_posts"), **POST_COPIES)
     return neardup.all_pairs(members, links)
@@ -62,7 +70,8 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_records": p4_records,
+    return {"p2_found": p2_found, "p2_repaired": p2_repaired,
+            "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_records": p4_records,
             "p5_found": p5_found, "p5_unmatched": p5_unmatched,
             "p7_found": p7_found, "p7_masked": p7_masked, "p8_ids": p8_ids}
 
