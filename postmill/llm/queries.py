@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, canonical, mojibake, neardup, pii, representative
+from postmill.llm import bpe, canonical, mojibake, neardup, pii, representative, residue
 from postmill.session import read_table
 
 #: TESTDATA.md: adjacent words, similarity 0.75 or more, posts of 25 words or more.
@@ -56,6 +56,15 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.unmatched_values(read_table(spark, sf_dir, "processed_posts"), read_table(spark, sf_dir, "canonical_tags"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = residue.residue_rows(read_table(spark, sf_dir, "raw_posts"))
+    return found.select(F.col("id").alias("idx")).distinct()
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.without_residue(read_table(spark, sf_dir, "raw_posts"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.kinds_found(read_table(spark, sf_dir, "raw_posts"))
     return found.select(F.col("id").alias("idx"), F.col("kind").alias("pii_kind"))
@@ -73,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p2_found": p2_found, "p2_repaired": p2_repaired,
             "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_records": p4_records,
             "p5_found": p5_found, "p5_unmatched": p5_unmatched,
+            "p6_found": p6_found, "p6_clean": p6_clean,
             "p7_found": p7_found, "p7_masked": p7_masked, "p8_ids": p8_ids}
 
 
