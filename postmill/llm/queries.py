@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, canonical, mojibake, neardup, pii, representative, residue
+from postmill.llm import bpe, canonical, language, mojibake, neardup, pii, representative, residue
 from postmill.session import read_table
 
 #: TESTDATA.md: adjacent words, similarity 0.75 or more, posts of 25 words or more.
 POST_COPIES = {"width": 2, "similarity": 0.75, "min_words": 25}
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = read_table(spark, sf_dir, "processed_posts")
+    return language.label_errors(posts, language.fit_on(posts)).withColumnRenamed("id", "idx")
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = read_table(spark, sf_dir, "processed_posts")
+    return language.segment_table(posts, language.fit_on(posts)).withColumnRenamed("id", "idx")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.damaged_ids(read_table(spark, sf_dir, "raw_posts")).withColumnRenamed("id", "idx")
 
@@ -79,7 +89,8 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_repaired": p2_repaired,
+    return {"p1_found": p1_found, "p1_segments": p1_segments,
+            "p2_found": p2_found, "p2_repaired": p2_repaired,
             "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_records": p4_records,
             "p5_found": p5_found, "p5_unmatched": p5_unmatched,
             "p6_found": p6_found, "p6_clean": p6_clean,
