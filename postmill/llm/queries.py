@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, canonical, language, mojibake, neardup, pii, representative, residue
+from postmill.llm import bpe, canonical, language, mixing, mojibake, neardup, pii, representative, residue, subjects
 from postmill.session import read_table
 
 #: TESTDATA.md: adjacent words, similarity 0.75 or more, posts of 25 words or more.
@@ -88,13 +88,52 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "source_targets"))
+    return mix.documents.where("copies > 0").select("doc_id", "source", "tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = read_table(spark, sf_dir, "source_targets")
+    return mixing.reached_shares(mixing.mix_sources(read_table(spark, sf_dir, "documents"), targets), targets)
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = subjects.fit_on(documents, read_table(spark, sf_dir, "doc_labels"), read_table(spark, sf_dir, "subjects"))
+    return subjects.subject_table(documents, model)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select(F.col("id").alias("doc_id"), "subject")
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_segments": p1_segments,
-            "p2_found": p2_found, "p2_repaired": p2_repaired,
-            "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_records": p4_records,
-            "p5_found": p5_found, "p5_unmatched": p5_unmatched,
-            "p6_found": p6_found, "p6_clean": p6_clean,
-            "p7_found": p7_found, "p7_masked": p7_masked, "p8_ids": p8_ids}
+    return {
+        "p1_found": p1_found,
+        "p1_segments": p1_segments,
+        "p2_found": p2_found,
+        "p2_repaired": p2_repaired,
+        "p3_found": p3_found,
+        "p3_groups": p3_groups,
+        "p4_found": p4_found,
+        "p4_records": p4_records,
+        "p5_found": p5_found,
+        "p5_unmatched": p5_unmatched,
+        "p6_found": p6_found,
+        "p6_clean": p6_clean,
+        "p7_found": p7_found,
+        "p7_masked": p7_masked,
+        "p8_ids": p8_ids,
+        "p9_mix": p9_mix,
+        "p9_shares": p9_shares,
+        "p10_found": p10_found,
+        "p10_composition": p10_composition,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
