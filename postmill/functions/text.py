@@ -318,13 +318,10 @@ def normalize_hashtags(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"[ \t]{2,}", " "))
 
 
-def clean_post_text(canonical: Column) -> Column:
-    """The whole cleaning of scraped text; null gives the empty text."""
-    text = basic_clean(F.coalesce(canonical, F.lit("")))
-    text = F.regexp_replace(text, f"{WS}*[\\x{{2022}}\\x{{00B7}}\\x{{2014}}\\x{{2013}}]{WS}*", "\n")
-    text = F.array_join(F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != ""), "\n")
-    text = normalize_hashtags(sentence_capitalize(text))
-    return sanitize_fully(F.regexp_replace(text, r"(?m)[ \t]+$", ""))
+def broken_lines(canonical: Column) -> Column:
+    """Scraped text after ``basic_clean``, a line for each bullet or dash, without empty lines."""
+    text = F.regexp_replace(basic_clean(canonical), f"{WS}*[\\x{{2022}}\\x{{00B7}}\\x{{2014}}\\x{{2013}}]{WS}*", "\n")
+    return strip(F.regexp_replace(text, f"{WS}*\n{WS}*", "\n"))
 
 
 def trailing_hashtags(text: Column) -> Column:

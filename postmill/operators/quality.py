@@ -32,7 +32,25 @@ def add_clean_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     staged = staged.withColumn("n_words", F.size("__words")).withColumn("n_unique", F.size(F.array_distinct(F.transform("__words", F.lower))))
     same = F.col("clean") == F.col("normalized")
     staged = staged.withColumn("fp", F.when(same, F.col("__compared")).otherwise(T.fingerprint(F.col("clean"))))
-    return staged.withColumn("reason", _reason()).drop("__canon", "__again", "__compared", "__plain", "__words")
+    return _once(staged.withColumn("reason", _reason()), df.columns)
+
+
+CLEAN_COLUMNS = ("normalized", "clean", "clean_lines", "n_words", "n_unique", "fp", "reason")
+
+
+def _once(staged: DataFrame, kept: list[str]) -> DataFrame:
+    """The silver columns behind a generator, through which the optimizer moves no filter: it would work them out again for it."""
+    others = [F.col(f"`{c}`") for c in kept if c not in CLEAN_COLUMNS]
+    return staged.select(*others, F.inline(F.array(F.struct(*CLEAN_COLUMNS))))
+
+
+def add_cleaned_post(df: DataFrame, raw_col: str) -> DataFrame:
+    """``df`` with the silver columns of scraped text after its whole cleaning; ``clean`` is the post. Null counts as empty."""
+    ship_package(df.sparkSession)
+    kept = df.columns
+    staged = df.withColumn("__canon0", T.canonicalize(F.col(raw_col))).withColumn("__cased", T.sentence_capitalize(T.broken_lines(F.col("__canon0"))))
+    staged = staged.withColumn("__raw", T.normalize_hashtags(F.coalesce("__cased", F.lit(""))))
+    return add_clean_columns(staged.select(*[F.col(f"`{c}`") for c in kept], "__raw"), "__raw").drop("__raw")
 
 
 def _reason() -> Column:

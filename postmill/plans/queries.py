@@ -215,8 +215,8 @@ def failure_tally(spark, sf_dir):
 
 
 def cleaned_raw_posts(spark, sf_dir):
-    raw = _text(spark, sf_dir, "raw_posts", "idx", "engagement_label")
-    return raw.select("idx", T.clean_post_text(F.col("text")).alias("text"), numbers.social_count(F.col("engagement_label")).alias("engagement"))
+    raw = read_table(spark, sf_dir, "raw_posts").select("idx", "engagement_label", "text")
+    return quality.add_cleaned_post(raw, "text").select("idx", F.col("clean").alias("text"), numbers.social_count(F.col("engagement_label")).alias("engagement"))
 
 
 def variant_layout(spark, sf_dir):

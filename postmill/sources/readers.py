@@ -13,6 +13,7 @@ from postmill.functions import htmlx, jsonx
 from postmill.functions import text as T
 from postmill.functions.numbers import coerce_variant, social_count
 from postmill.functions.tags import tags_of_variant
+from postmill.operators.quality import add_cleaned_post
 from postmill.operators.retrieval import first_per_fingerprint
 from postmill.session import ship_package
 
@@ -111,9 +112,8 @@ def posts_of_activity(documents: DataFrame, id_col: str = "idx", json_col: str =
 
 
 def _cleaned(found: DataFrame, order: str) -> DataFrame:
-    staged = found.withColumn("__canon", T.canonicalize(F.col("raw"))).withColumn("text", T.clean_post_text(F.col("__canon")))
-    keyed = staged.withColumn("fp", T.fingerprint(F.col("text"))).drop("raw", "__canon")
-    return first_per_fingerprint(keyed, order).drop("fp")
+    posts = add_cleaned_post(found, "raw").select(*[c for c in found.columns if c != "raw"], F.col("clean").alias("text"), "fp")
+    return first_per_fingerprint(posts, order).drop("fp")
 
 
 def first_source(*sources: DataFrame) -> DataFrame:
