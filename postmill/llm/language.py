@@ -104,23 +104,27 @@ def normal_label(label) -> F.Column:
     return F.when(~plain.isin(*UNKNOWN), known)
 
 
+_PLAIN_WORDS = re.compile(r"(?:#|https?:|www\.)\S*|[ऀ-ॿ]+|[^\W\d_]+")
+_ADDRESS_SIGNS = re.compile(r"@|\bdot\b|[\[(]\s?at\s?[\])]", re.I)
+
+
 def sentence_words(text: str) -> list[tuple[int, int, list[str]]]:
     """``(start, end, words)`` of each sentence or line; words in small letters, without names, hashtags and addresses.
 
     A word with a capital that doesn't begin its sentence passes for a name, unless the whole text is in capitals.
     """
     shout = text == text.upper()
+    found = _WORDS.findall if _ADDRESS_SIGNS.search(text) else _PLAIN_WORDS.findall
+    linked = "www." in text or "http" in text or found == _WORDS.findall
     out = []
     at = 0
     for part in [*_SENTENCES.finditer(text), None]:
         end = part.start() if part else len(text)
-        words = []
-        for m in _WORDS.finditer(text, at, end):
-            w = m[0]
-            first = w[0]
-            if not w.isalpha() and (_ADDRESS.search(w) or w.startswith(("http", "www."))):
+        words: list[str] = []
+        for w in found(text, at, end):
+            if w[0] == "#" or linked and not w.isalpha() and (_ADDRESS.search(w) or w.startswith(("http", "www."))):
                 continue
-            if shout or not words or not first.isupper() or first == "I" == w:
+            if shout or not words or not w[0].isupper() or w == "I":
                 words.append(w.lower())
         out.append((at, end, words))
         at = part.end() if part else end
@@ -286,43 +290,45 @@ def analyse(model: LanguageModel, texts: list[str | None]) -> list[list[tuple[in
     """
     parts = [sentence_words(t) if t else [] for t in texts]
     scores = model.sentence_scores([words for p in parts for _, _, words in p])
+    counts = np.array([len(p) for p in parts])
+    sizes = np.array([len(words) for p in parts for _, _, words in p])
+    held = np.flatnonzero(counts)
+    starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    home = np.zeros(len(parts), int)
+    if len(held):
+        home[held] = np.add.reduceat(scores, starts[held], axis=0).argmax(axis=1)
+    own = np.repeat(home, counts)
+    scores[np.arange(len(scores)), own] += HOME * (sizes > 0)
+    best = scores.argmax(axis=1)
+    ranked = np.sort(scores, axis=1)
+    margin = ranked[:, -1] - ranked[:, -2]
+    sure = (1.0 / np.exp(scores - ranked[:, -1:]).sum(axis=1)).tolist()
+    foreign = best != own
+    speaks = (sizes >= np.where(foreign, FOREIGN_WORDS, LEAST_WORDS)) & (margin >= np.where(foreign, FOREIGN_MARGIN, LEAST_MARGIN))
+    best, speaks, sizes = best.tolist(), speaks.tolist(), sizes.tolist()
     out: list[list[tuple[int, int, str, float, bool]]] = []
-    at = 0
-    for p in parts:
-        rows = scores[at : at + len(p)]
-        at += len(p)
-        sizes = [len(words) for _, _, words in p]
-        if not sum(sizes):
+    for p, at, main in zip(parts, starts.tolist(), home.tolist(), strict=True):
+        until = at + len(p)
+        if not any(sizes[at:until]):
             out.append([])
             continue
-        home = int(rows.sum(axis=0).argmax())
-        rows = rows.copy()
-        rows[:, home] += HOME * (np.array(sizes) > 0)
-        best = rows.argmax(axis=1)
-        odds = np.exp(rows - rows.max(axis=1, keepdims=True))
-        sure = 1.0 / odds.sum(axis=1)
-        margin = rows.max(axis=1) - np.sort(rows, axis=1)[:, -2]
-        speaks = [
-            n >= LEAST_WORDS and m >= LEAST_MARGIN if b == home else n >= FOREIGN_WORDS and m >= FOREIGN_MARGIN
-            for n, m, b in zip(sizes, margin, best, strict=True)
-        ]
-        if not any(speaks):
-            total = rows.sum(axis=0)
-            share = np.exp(total - total.max())
-            out.append([(p[0][0], p[-1][1], LANGUAGES[home], float(1 / share.sum()), True)])
+        if not any(speaks[at:until]):
+            total = scores[at:until].sum(axis=0)
+            out.append([(p[0][0], p[-1][1], LANGUAGES[main], float(1 / np.exp(total - total.max()).sum()), True)])
             continue
-        first = next(int(b) for b, s in zip(best, speaks, strict=True) if s)
+        language = next(best[k] for k in range(at, until) if speaks[k])
         segments: list[list] = []
-        for (start, end, _), b, s, c, n in zip(p, best, speaks, sure, sizes, strict=True):
-            language = int(b) if s else (segments[-1][2] if segments else first)
+        for k, (start, end, _) in enumerate(p, at):
+            if speaks[k]:
+                language = best[k]
             if segments and segments[-1][2] == language:
                 segments[-1][1] = end
             else:
                 segments.append([start, end, language, 0.0, 0, False])
-            last = segments[-1]
-            last[3] += float(c if s else 0.5) * max(n, 1)
-            last[4] += max(n, 1)
-            last[5] |= s
+            last, n = segments[-1], max(sizes[k], 1)
+            last[3] += (sure[k] if speaks[k] else 0.5) * n
+            last[4] += n
+            last[5] |= speaks[k]
         out.append([(a, z, LANGUAGES[k], w / n, whole) for a, z, k, w, n, whole in segments])
     return out
 
