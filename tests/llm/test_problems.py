@@ -1,9 +1,11 @@
 """Each problem's operator against brute force, round trips or planted cases, and on awkward rows."""
 
+import os
 import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -341,3 +343,16 @@ def test_subjects(spark):
 
 def test_names_of_queries():
     assert {f"p{n}_" for n in range(1, 11)} == {re.match(r"p\d+_", q)[0] for q in queries.queries()}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test data is not there")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_against_sql(spark, name):
+    data = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    for file in os.listdir(data):
+        connection.execute(f"create view {file[:-8]} as select * from '{data}/{file}'")
+    expected = connection.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in expected.description]
+    mine = queries.queries()[name](spark, data).select(*columns).collect()
+    assert sorted(map(tuple, mine), key=str) == sorted(expected.fetchall(), key=str)
