@@ -151,6 +151,8 @@ def _clean_score(ch: str, before: str, after: str) -> float:
         latin = any(c.isalpha() and c < "ɐ" for c in (before, after))
         plain = "А" <= ch <= "я" or "α" <= ch <= "ω"
         return -14.0 if latin or not (before + after).strip("​").strip() else -4.0 if plain and (p in "aA" or n in "aA") else -10.0
+    if 0x2B0 <= code < 0x300:
+        return -14.0 if p in "aA" or n in "aA" else -9.0
     if 0x2500 <= code < 0x25A0:
         return -9.0
     if 0x3000 <= code < 0xA000 or 0xAC00 <= code < 0xD7B0:
