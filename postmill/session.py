@@ -51,7 +51,10 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package's Python files, once per application, through Spark's own file server."""
+    """Give the executors this package's Python files, once per application, through Spark's own file server.
+
+    The archive lies on the driver's machine, where only the driver reads it; executors fetch it over the network.
+    """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
