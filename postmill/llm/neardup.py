@@ -2,7 +2,7 @@
 
 Rows: texts become word hashes in the JVM; one Arrow pass gives each its signature. Texts with the same words
 in the same order are one class, and only its smallest id goes on. Band keys meet in an equality join, a
-128-bit sketch drops chance meetings, and the rest is verified exactly on all shingles.
+sketch of 128 bits drops chance meetings there, lengths and a sketch of 200 bits more of them, and the rest is verified exactly on all shingles.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ BROADCAST_IDS = 1_000_000
 SKETCH_DEVIATIONS = 4.0
 
 
+SKETCH = ["s1", "s2", "s3", "s4"]
+
+
 def word_hashes(text) -> F.Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"({WORDS})"), 1), lambda w: F.xxhash64(w))
 
@@ -46,13 +49,12 @@ def _sign(width: int):
             elements, document = smh.shingles(words, offsets, width)
             signature = smh.signatures(elements, document, batch.num_rows)
             keys = smh.band_keys(signature)
-            s1, s2 = smh.sketch(signature)
             n = np.bincount(document, minlength=batch.num_rows).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(n),
                  pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * smh.BANDS), pa.array(keys.ravel())),
-                 pa.array(s1), pa.array(s2)],
-                names=["id", "k1", "k2", "n", "keys", "s1", "s2"],
+                 *map(pa.array, smh.sketch(signature))],
+                names=["id", "k1", "k2", "n", "keys", *SKETCH],
             )
 
     return run
@@ -78,10 +80,16 @@ def _sent_if_small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def _bits_needed(similarity: float) -> int:
+def _bits_needed(similarity: float, bits: int) -> int:
     jaccard = similarity / (2 - similarity)
     p = (1 + jaccard) / 2
-    return math.floor(smh.SKETCH_BITS * p - SKETCH_DEVIATIONS * math.sqrt(smh.SKETCH_BITS * p * (1 - p)))
+    return math.floor(bits * p - SKETCH_DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+
+
+def _alike(similarity: float, bits: int, words: list[str]) -> F.Column:
+    """Whether the sketches of the rows ``p`` and ``q`` agree as far as those of a pair at the threshold do."""
+    differ = sum(F.bit_count(F.col(f"p.{w}").bitwiseXOR(F.col(f"q.{w}"))) for w in words)
+    return bits - differ >= _bits_needed(similarity, bits)
 
 
 def duplicate_links(
@@ -100,28 +108,27 @@ def duplicate_links(
     words = posts.select("id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= least)
     keyed = words.select("id", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(7), "words").alias("k2"), "words")
     signed = cut_lineage(
-        keyed.mapInArrow(_sign(width), "id bigint, k1 bigint, k2 bigint, n int, keys array<int>, s1 bigint, s2 bigint")
+        keyed.mapInArrow(_sign(width), "id bigint, k1 bigint, k2 bigint, n int, keys array<int>, s1 bigint, s2 bigint, s3 bigint, s4 bigint")
     )
     classes = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     members = cut_lineage(signed.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "rep").distinct())
     copies = members.where("id <> rep").select("id")
-    reps = signed.drop("k1", "k2", "n").join(_sent_if_small(copies), "id", "left_anti")
-    bands = reps.select("id", F.posexplode("keys").alias("band", "key")).select(
-        "id", (F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("key").cast("bigint")).alias("key")
+    reps = signed.drop("k1", "k2").join(_sent_if_small(copies), "id", "left_anti")
+    bands = reps.select("id", "s1", "s2", F.posexplode("keys").alias("band", "key")).select(
+        "id", "s1", "s2", (F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("key").cast("bigint")).alias("key")
     )
     met = (
-        bands.select("key", F.col("id").alias("a"))
-        .join(bands.select("key", F.col("id").alias("b")), "key")
-        .where("a < b")
-        .select("a", "b")
+        bands.alias("p").join(bands.alias("q"), F.col("p.key") == F.col("q.key"))
+        .where((F.col("p.id") < F.col("q.id")) & _alike(similarity, smh.SKETCH_BITS, SKETCH[:2]))
+        .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
         .distinct()
     )
-    small = reps.select("id", "s1", "s2")
-    agree = smh.SKETCH_BITS - F.bit_count(F.col("p.s1").bitwiseXOR(F.col("q.s1"))) - F.bit_count(F.col("p.s2").bitwiseXOR(F.col("q.s2")))
+    small = reps.select("id", "n", *SKETCH)
+    most = (2 - similarity) / similarity + 1e-9  # without loss: the smaller text has all shared shingles at most
     likely = cut_lineage(
         met.join(small.alias("p"), F.col("a") == F.col("p.id"))
         .join(small.alias("q"), F.col("b") == F.col("q.id"))
-        .where(agree >= _bits_needed(similarity))
+        .where((F.col("p.n") <= most * F.col("q.n")) & (F.col("q.n") <= most * F.col("p.n")) & _alike(similarity, smh.SLOTS, SKETCH))
         .select("a", "b")
     )
     involved = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 SLOTS = 200
-ROWS_PER_BAND = 5
+ROWS_PER_BAND = 4
 SKETCH_BITS = 128
 BANDS = SLOTS // ROWS_PER_BAND
 _DRAW_BITS = 24
@@ -111,8 +111,9 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def sketch(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One bit of each of the first slots, packed in two 64-bit words; equal bits estimate (1 + Jaccard) / 2."""
-    bit = (mix(signature[:, :SKETCH_BITS].astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+def sketch(signature: np.ndarray) -> list[np.ndarray]:
+    """One bit of each slot, packed in four 64-bit words; equal bits estimate (1 + Jaccard) / 2. The first SKETCH_BITS fill two words."""
+    bit = np.zeros((len(signature), 256), np.uint8)
+    bit[:, :SLOTS] = mix(signature.astype(np.uint64)) & np.uint64(1)
     packed = np.packbits(bit, axis=1).view(">u8").astype(np.uint64).view(np.int64)
-    return packed[:, 0].copy(), packed[:, 1].copy()
+    return [packed[:, k].copy() for k in range(4)]

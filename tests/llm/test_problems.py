@@ -164,6 +164,17 @@ def test_signatures_estimate_the_similarity():
     assert (alone[0] == signature[0]).all()
 
 
+def test_bands_miss_few_pairs_at_the_threshold():
+    rng = np.random.default_rng(5)
+    pairs, met = 3000, 0
+    for _ in range(3):  # 30 shared elements of 50: Jaccard 0.6, similarity 0.75
+        shared, own = rng.integers(0, 2**63, (pairs // 3, 30), dtype=np.uint64), rng.integers(0, 2**63, (2, pairs // 3, 10), dtype=np.uint64)
+        texts = [np.hstack([shared, own[k]]) for k in range(2)]
+        keys = [superminhash.band_keys(superminhash.signatures(t.ravel(), np.repeat(np.arange(len(t)), 40), len(t))) for t in texts]
+        met += int((keys[0] == keys[1]).any(axis=1).sum())
+    assert met >= 0.995 * pairs
+
+
 def test_best_fields(spark):
     rows = [(1, "aa", 5, ["x", " ", "y", "x"]), (2, "aaa", None, None), (3, "bbb", 9, ["x", "y"]), (4, None, 9, ["z", None]), (5, "c", None, []), (6, "c", None, [])]
     posts = spark.createDataFrame(rows, "idx bigint, text string, engagement bigint, tags array<string>").withColumn("group_id", F.lit(0)).withColumn("field", F.lit("f"))
