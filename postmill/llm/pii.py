@@ -100,16 +100,16 @@ _ADDRESSES = [
     re.compile(r"\b(?:(?i:am|im|zum|zur|an der|an den|auf der|auf dem|in der|unter den)) %s \d{1,4} ?[a-z]?, \d{5} %s" % (_NAME_WORD, _NAME_WORD)),
     re.compile(r"\b\d{1,4}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai) (?:(?:de|la|des|du) )*%s%s" % (_NAME_WORD, _TAIL)),
 ]
-#: Words and endings without which a text holds no address, and words after which it may name a person.
+#: Words and endings without which a text holds no address: each pattern needs one of them.
 _ADDRESS_WORDS = frozenset(
     "street st road rd avenue ave lane ln drive boulevard blvd court terrace square close crescent marg nagar gali chowk colony vihar box "
-    "house sector am im zum zur der den dem postfach apartado postale postal flat apt apartment calle c plaza avenida avda av paseo rua travessa praça rue place allée chemin via".split()
+    "house plot shop am im zum zur der den dem postfach apartado postale postal flat apt apartment calle c plaza avenida avda av paseo rua travessa praça rue place allée chemin via impasse quai".split()
 )
 _ADDRESS_ENDINGS = ("straße", "strasse", "str", "weg", "platz", "gasse", "allee", "ufer", "damm")
-_NAMED_WORDS = frozenset("taught beigebracht sikhayi patience geduld paciencia appris ensinou shukriya desk put".split())
 _BRACKETED_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
-_MANY_DIGITS = re.compile(r"[A-Za-z]{5}\d{4}[A-Za-z]\b|\d(?:[ \-./()]{0,2}[A-Za-z]?[ \-]?\d){4}")
-_SPACED = {i: " " for i in range(128) if not chr(i).isalpha()} | {0xA0: " ", 0x2019: " ", 0x200B: " "}
+#: Digits without which a text holds no identity number, and no phone number.
+_ID_DIGITS, _PHONE_DIGITS = 2, 7
+_DIGIT = re.compile(r"\d")
 
 
 def luhn(digits: str) -> bool:
@@ -190,29 +190,31 @@ def _named(text: str, start: int, end: int) -> bool:
     return bool(_NAMED.search(text[max(0, start - 20) : start]) or _NAMED_AFTER.match(text, end))
 
 
-def find_spans(text: str | None) -> list[tuple[int, int, str, int]]:
+def find_spans(text: str | None, gated: bool = True) -> list[tuple[int, int, str, int]]:
     """``(start, end, kind, score)`` of the personal data of a text, in order and without overlap.
 
     Where proposals overlap, the higher score counts, then the longer span, then the earlier start. Null and empty
-    texts have none.
+    texts have none. Without ``gated`` every pattern is tried on every text, with the same result.
     """
     if not text:
         return []
     plain = text.replace("\xa0", " ")
-    words = set(plain.lower().translate(_SPACED).split())
+    cased = _title(plain)
+    words = {w.lower() for w in _WORD.findall(cased)}
+    digits = len(_DIGIT.findall(plain))
     spans: list[tuple[int, int, str, int]] = []
-    if "@" in plain or "dot" in words or "at" in words and _BRACKETED_AT.search(plain):
+    if not gated or "@" in plain or "dot" in words or "at" in words and _BRACKETED_AT.search(plain):
         spans += [(m.start(), m.end(), "EMAIL", 6) for m in _MAIL.finditer(plain)]
-    if _MANY_DIGITS.search(plain):
+    if not gated or digits >= _ID_DIGITS:
         spans += _id_spans(plain)
+    if not gated or digits >= _PHONE_DIGITS:
         for m in _DIGITS.finditer(plain):
             if m.end() - m.start() >= 7 and (score := _phone_score(plain, m.start(), m.end())) >= ACCEPT:
                 spans.append((m.start(), m.end(), "PHONE", score))
-    if not words.isdisjoint(_ADDRESS_WORDS) or any(w.endswith(_ADDRESS_ENDINGS) for w in words):
-        cased = _title(plain)
+    if not gated or not words.isdisjoint(_ADDRESS_WORDS) or any(w.endswith(_ADDRESS_ENDINGS) for w in words):
         spans += [(m.start(), m.end(), "ADDRESS", 4) for pattern in _ADDRESSES for m in pattern.finditer(cased)]
-    if not words.isdisjoint(GIVEN_NAMES) or not words.isdisjoint(_NAMED_WORDS):
-        spans += _name_spans(_title(plain))
+    if not gated or not words.isdisjoint(GIVEN_NAMES) or any(len(w) >= 6 and w.endswith(FAMILY_ENDINGS) for w in words):
+        spans += _name_spans(cased)
     kept: list[tuple[int, int, str, int]] = []
     for s in sorted(spans, key=lambda s: (-s[3], s[0] - s[1], s[0])):
         if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
