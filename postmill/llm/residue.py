@@ -137,6 +137,10 @@ _FILLER = frozenset(
     "exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur "
     "excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum".split()
 )
+#: Words of the filler that are words of languages too; they count only beside others of it (fixed values).
+_FILLER_LINKS = frozenset("et in do ut qui est non ad ex ea eu id sunt quis".split())
+#: A segment is filler with so many words of it that are no links, if they and the links have this share.
+FILLER_WORDS, FILLER_SHARE = 3, 0.6
 #: Words without which no sentence of a language goes on for long (fixed values).
 _FUNCTION_WORDS = frozenset(
     """
@@ -214,9 +218,15 @@ def trusted_segments() -> list[str]:
 
 
 def _is_filler(words: list[str]) -> bool:
-    if len(words) < 4 or any(w in _FUNCTION_WORDS for w in words):
+    """Whether the words of a segment, of which numbers don't count, are filler."""
+    words = [w for w in words if w != "0"]
+    if len(words) < 4:
         return False
     usual = sum(w in _FILLER for w in words)
+    if usual >= FILLER_WORDS and usual + sum(w in _FILLER_LINKS for w in words) >= FILLER_SHARE * len(words):
+        return True
+    if any(w in _FUNCTION_WORDS for w in words):
+        return False
     return usual >= 2 or usual >= 1 and len(words) >= 6 and len(set(words)) < len(words) or len(words) >= 10 and usual >= 1
 
 
@@ -276,7 +286,7 @@ def _pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             kind = trusted_kind(text)
             parts = segments(text)
-            if kind is None and any(_is_filler(p.split()) for p in parts if "0" not in p):
+            if kind is None and any(_is_filler(p.split()) for p in parts):
                 kind = "filler"
             if kind:
                 rows.append((key, kind, None))

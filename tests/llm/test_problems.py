@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,19 @@ def test_residue(spark):
     assert residue.residue_rows(table(spark, [])).count() == 0
 
 
+def test_filler_with_words_of_languages():
+    bad = [
+        "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
+        "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur",
+        "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum",
+        "Lorem ipsum 12 dolor sit amet 2024",
+    ]
+    good = ["Our designer banned lorem ipsum two years ago", "She put lorem ipsum in the deck and it went out", "No es culpa de nadie y el dolor pasa", "We met in Bonn in 2024"]
+    assert [any(residue._is_filler(p.split()) for p in residue.segments(t)) for t in bad + good] == [True] * len(bad) + [False] * len(good)
+    frame = next(residue._pool(iter([pd.DataFrame({"id": range(len(bad)), "text": bad})])))
+    assert set(frame["kind"]) == {"filler"} and set(frame["id"]) == set(range(len(bad)))
+
+
 # 7 personal data
 
 
