@@ -1,115 +1,124 @@
 """Problem 6: template residue, filler, error pages, script notices and interface captions in place of content.
 
-Unfilled fields, traces and filler are recognised by their form and are trusted. Everything else is a question of
-wording: segments of a text that lie near a trusted wording by SimHash become nodes of a graph together with the
-trusted wordings; partitioned SimHash tables propose its links, Hamming distance and text similarity verify them,
-and the label of the trusted ones spreads through connected components.
+Every sentence and line of the corpus is a node. Few nodes are trusted: those whose form alone shows residue (traces,
+filler), those made of nothing but the words of notices and captions, and a short list of usual wordings. Labels spread
+from them: partitioned SimHash tables over all nodes propose links, Hamming distance and text similarity verify them,
+and whoever is linked to a labelled node is labelled in turn, until the trusted nodes' connected components are whole.
+An unfilled field marks its row only: the sentence around it is content and labels nothing.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from http import HTTPStatus
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.operators.graph import connected_components
-from postmill.session import cut_lineage, ship_package
+from postmill.session import ship_package, written
 
-#: Trusted wordings (fixed values). Digits stand for any number, case and punctuation don't count.
+#: Usual wordings of browsers, servers and page builders that are trusted even where the corpus has no other (fixed values).
 TRUSTED = """
 Please enable JavaScript to view this page
-Please enable JavaScript and cookies to continue
-JavaScript is required to use this site
-JavaScript is disabled in your browser
-JavaScript is turned off in your browser
 You need to enable JavaScript to run this app
-You need to enable scripts to run this app
+JavaScript is disabled in your browser
 Your browser does not support JavaScript
-Your browser is not supported
-Veuillez activer JavaScript pour continuer
-Bitte aktivieren Sie JavaScript um diesen Beitrag zu sehen
-Bitte aktivieren Sie JavaScript in Ihrem Browser
-Habilite los scripts de su navegador para ver esta publicación
-Habilite JavaScript en su navegador para continuar
-Ative o JavaScript no seu navegador para continuar
-We use cookies to improve your visit
-We use cookies to improve your experience
 This site uses cookies
-This site requires cookies and scripts
-Wir verwenden Cookies um Ihr Erlebnis zu verbessern
-Utilizamos cookies para mejorar su experiencia
-Nous utilisons des cookies pour améliorer votre expérience
-Checking your browser before you proceed
 Checking your browser before accessing this site
 Verify you are human
-Access denied
-You do not have permission to view this post
-You do not have permission to access this page
-Oops! We can't find that page
-404 - Page not found
-404 Not Found
 The page you requested could not be found
-Too many requests
-Retry after 30 seconds
-Página no encontrada
-Página não encontrada
-Page introuvable
-Die Seite wurde nicht gefunden (Fehler 404)
-Seite nicht gefunden
-Error 502: bad gateway
-The upstream server did not answer
-502 Bad Gateway
-504 Gateway Timeout
-500 Internal Server Error
-Internal Server Error
-503 Service Temporarily Unavailable
-Service Unavailable
-Erreur 500 : le serveur a rencontré un problème
-Yeh page uplabdh nahi hai baad mein koshish karein (error 404)
-Unable to load feed: timeout of 3000ms exceeded
-Something went wrong on our side
+This content is no longer available
 Something went wrong
 Please reload and try again
 Your session has expired
-Sign in to continue
-This content isn't available right now
-This content is no longer available
-Image preview
-Document preview (3 pages)
-Video player
-Video player is loading
-Play video
-Player is loading
-Current time 0:00 / Duration 0:30
 Media player modal window
 Activate to view larger image
-Tap to enlarge picture 1 of 4
 No alternative text description for this image
-See translation
-Show original
-Your text here
-Click to edit
-Sample text goes here
-Replace this paragraph before publishing
-Headline here
-Subheadline here
-Body copy here
-This is a test post please ignore
-Test test 1
-asdf asdf qwer 12
-asdf asdf asdf
-blah blah blah, final copy to follow
-blah blah blah
-Final copy to follow
 Placeholder text
 Insert text here
 """
 
+#: What notices speak of, in the languages of the corpus (fixed values).
+_THINGS = frozenset(
+    """
+    access account ad adblock adblocker app blocker browser browsers certificate connection connections content database error feed file form gateway host http https image limit log login network origin page pages policy
+    permission permissions popup post proxy reload region request resource robot seconds security server servers service session sign site something subscription
+    system test timeout upstream url video web website
+    attempts inactivity maintenance settings support
+    anfrage anmeldung beitrag berechtigung berechtigung browser datenbank dienst inhalt netzwerk seite server sitzung verbindung webseite zugriff
+    acceso conexión contenido navegador permiso publicación página red servicio servidor sesión sitio solicitud
+    accès connexion contenu navigateur page publication requête réseau serveur service session site
+    acesso conexão conteúdo navegador permissão publicação página rede servidor serviço sessão solicitação
+    """.split()
+)
+#: What notices say of it or ask for (fixed values).
+_STATES = frozenset(
+    """
+    accept again answer authorized broken aborted activate allow answered bad blocked cannot cant checking closed complete connect continue corrupted couldnt crashed denied disable disabled
+    down enable enabled error errors establishing exceeded expired exist exists fail failed failure find forbidden found ignore interrupted impossible invalid isnt load loaded loading lost
+    many missing occurred off offline optimized overloaded proceed reached refresh refused reloading removed processed required requires reset respond responding deleted restricted retry
+    retrying suspended switch timed try turn turned unable unauthorized unavailable construction unexpected unknown unreachable unsupported update manage moved verify verifying view wrong
+    abgelaufen unterbrochen melden abgelehnt aktivieren deaktiviert antwortet akzeptieren aktiviert existiert unterstützt interner fehlgeschlagen gelöscht erreichbar fehler fehlgeschlagen fortfahren gefunden geladen gesperrt laden neu unerwarteter verweigert überprüft
+    acepte ocurrido pudo activar active activa aceptar desactivado responde imposible caducado caducó cargar existe fallado interno bloqueado eliminado continuar denegado encontrada encontrado error errores expirado habilite inténtelo ver recargue
+    accepter acceptez survenue activer activez actualisez répond impossible désactivé actualiser existe interne échoué bloqué supprimé supprimée autorisé chargement charger continuer erreur expiré introuvable recharger refusé rencontré réessayer trouvée
+    aceite ocorreu ativar aceitar ative responde possível impossível desativado carregar existe falhou interno bloqueado removido continuar encontrada encontrado erro expirou negado recarregue tente
+    band chalu khul koshish mila milega uplabdh
+    """.split()
+)
+#: What is a matter for a notice only if it isn't so (fixed values).
+_IF_NOT = frozenset("available supported compatible compatível private verfügbar disponible disponível reachable responding secure".split())
+_NOT = frozenset("not no nicht non pas não nahi isnt arent longer".split())
+#: Either of these makes a notice of a segment that says nothing else.
+_SIGNALS = frozenset("javascript js script scripts cookie cookies captcha gateway skripte".split())
+#: Words that notices have besides, and that say little elsewhere (fixed values).
+_NOTICE_LINKS = frozenset(
+    """
+    all also another any back been being both cant came check client code completely date contact content correctly currently did during else enjoy ensure experience following
+    full function functionality further happened has having here internal its just kindly later ip address link long longer looking make took start security moment must need needed needs new now number only open
+    ones or order our out own page please problem properly providing rate re requested right run minutes seems settings side site some sorry soon
+    sure temporarily then there they by does have has thing things through time times too trying under until up updated use used user uses using version visit wait want was went while
+    improve improved work working works would yet your youre youve shortly traffic response
+    beim bitte beim verwendet konnte bessern ihr ihre ihrem ihren keine haben sich erlebnis erneut gewünschte leider moment problem später um verbessern verwenden verwendet versuchen sehen sie wurde diese diesen dieser angeforderte
+    algo busca que esta este estamos experiencia favor intente lo mejorar más momento para problema salió sentimos su sus tarde usamos utiliza utilizamos vuelva mal navegador accès
+    améliorer avez ceci cette demandée possible utilise désolé expérience nous plus problème merci navigation tard utilise utilisons veuillez visite votre quelque chose mal passé est
+    usa possível algo aqui deu desculpe foi sua errado esta este experiência favor mais melhorar momento no nosso para problema seu sua tarde usamos utiliza utilizamos
+    baad mein karein kijiye kare karo kripya phir dobara thodi der yeh nahi hai raha phir se ho
+    """.split()
+)
+#: Parts of an interface or a page builder (fixed values).
+_PARTS = frozenset(
+    """
+    alternative audio banner button caption copy description document duration headline icon image images logo media modal original pages paragraph photo picture player post preview
+    screen slide slider slideshow subheadline subtitle subtitles text thumbnail time title transcript translation video videos volume widget window body
+    bild vorschau übersetzung imagen traducción vista previa aperçu traduction imagem tradução
+    """.split()
+)
+#: What one does with them, and what page builders say of what is still to come (fixed values).
+_ACTS = frozenset(
+    """
+    click close current dummy edit enlarge enter expand follow add goes hide insert larger loading mute pause play press publishing replace sample see show swipe tap toggle type unmute
+    view zoom final placeholder buffering
+    anzeigen abspielen mostrar reproducir ver afficher voir lire reproduzir
+    """.split()
+)
+_PART_LINKS = frozenset("to of for this no is in on off be is 0 here your before or and more full with a the".split())
+#: Kinds of content that page builders leave a place for (fixed values).
+_PLACES = frozenset("text headline subheadline subtitle title body copy paragraph caption description name content button logo image sample placeholder dummy".split())
+#: Words typed to have something there (fixed values); runs of neighbouring keys count too.
+_MASH = frozenset("blah bla test testing foo bar baz dummy xyz abc xxx".split())
+_KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop")
+#: Reasons that servers give for a status of 400 or more, of two words or more.
+_REASONS = frozenset(r for s in HTTPStatus if s >= 400 and " " in (r := s.phrase.lower().replace("-", " ").replace("'", "")))
+#: Narrators: no notice speaks so (fixed values).
+_PERSONS = frozenset("i my me he she they ich mir mich er yo él ella je moi elle eu meu minha main mera meri mere mujhe hum woh wir".split())
+#: The least share of a segment's words that must be words of notices, or of interfaces, proper.
+NOTICE_SHARE, PART_SHARE = 0.25, 0.5
+#: Words of neither that a notice may hold, and the share that its own words must have then.
+OTHER_SHARE, SURE_SHARE = 0.34, 0.34
+
 #: Names inside brackets that make a field of them (fixed values).
 _FIELD_WORDS = (
     r"(?:your |insert |enter |add |the )?(?:(?:first|last|full|user|company|job|post|product|city|event|team|client|contact|brand) ?_?)?"
@@ -156,17 +165,21 @@ _FUNCTION_WORDS = frozenset(
     """.split()
 )
 
+_COVERED = _THINGS | _STATES | _IF_NOT | _SIGNALS | _NOTICE_LINKS | _MASH | _FUNCTION_WORDS
+_DRAWN = _PARTS | _ACTS | _PART_LINKS | _PLACES
+
 _TABLE = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord(c): "0" for c in "0123456789"} | {ord(c): "\n" for c in ".!?\n\r।"}
 _TABLE |= dict.fromkeys([0x200B, 0x200C, 0x2060, 0xFEFF, 0xAD, 0x27], "") | dict.fromkeys([0x2019, 0xA0, 0x2014, 0x2013, 0x2026, 0x27A1, 0xFE0F], " ")
 _TABLE[0x2019] = ""
 _ZEROS = re.compile("00+")
 
-#: Segments of more words than this are no wording of the list, give or take the edits that the links allow.
-LONGEST = 18
-#: A segment within this many bits of a trusted wording that has this share of its words joins the graph. Links need at most
-#: LINK_BITS and this text similarity; the tables find every link of up to TABLES - 1 bits, and nearly all of the others.
-POOL_BITS, POOL_WORDS, LINK_BITS, SIMILARITY = 16, 0.5, 12, 0.8
+#: Links need at most LINK_BITS between the SimHashes and this similarity of the texts (1 less edits over the longer length).
+LINK_BITS, SIMILARITY = 16, 0.8
+#: Tables, each keyed by its own 8 of the 64 bits and a class of lengths: every link of up to TABLES - 1 bits shares a key, others mostly do.
 TABLES = 8
+#: Labelled wordings up to this many, counted first, are sent to all executors to probe the tables; more are joined by shuffle.
+PROBES = 100_000
+MAX_ROUNDS = 60
 
 
 def segments(text: str) -> list[str]:
@@ -179,42 +192,27 @@ def segments(text: str) -> list[str]:
     return out
 
 
-_words: dict[str, int] = {}
-
-
-def simhash(texts: list[str]) -> np.ndarray:
-    """64-bit SimHash of words and pairs of neighbours, as int64."""
-    return _simhash(([*(words := t.split()), *map(" ".join, zip(words, words[1:], strict=False))] for t in texts))
-
-
 def letter_simhash(texts: list[str]) -> np.ndarray:
-    """64-bit SimHash of runs of three letters, which a slip of the pen changes little."""
-    return _simhash([f"  {t} "[k : k + 3] for k in range(len(t) + 1)] for t in texts)
-
-
-def _simhash(features_of: Iterable[list[str]]) -> np.ndarray:
-    flat: list[int] = []
-    starts = []
-    for features in features_of:
-        starts.append(len(flat))
-        for feature in features or [""]:
-            known = _words.get(feature)
-            if known is None:
-                if len(_words) > 300_000:
-                    _words.clear()
-                known = _words[feature] = xxhash.xxh64_intdigest(feature)
-            flat.append(known)
-    if not starts:
-        return np.zeros(0, np.int64)
-    features = np.array(flat, np.uint64)
-    bits = np.unpackbits(features.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-    counts = np.diff(np.array([*starts, len(flat)]))
-    majority = np.add.reduceat(bits, np.array(starts), axis=0) * 2 > counts[:, None]
-    return np.packbits(majority, axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel()
-
-
-def trusted_segments() -> list[str]:
-    return list(dict.fromkeys(s for s in segments(TRUSTED)))
+    """64-bit SimHash of runs of three letters, which a slip of the pen changes little, as int64."""
+    out = np.zeros(len(texts), np.int64)
+    for at in range(0, len(texts), 2000):
+        some = texts[at : at + 2000]
+        sizes = np.array([len(t) + 3 for t in some])
+        codes = np.frombuffer("".join(f"  {t} " for t in some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        starts = np.cumsum(sizes) - sizes
+        inside = np.ones(len(codes), bool)
+        inside[np.concatenate([starts + sizes - 1, starts + sizes - 2])] = False
+        at_run = np.flatnonzero(inside)
+        hashed = (codes[at_run] << np.uint64(42)) | (codes[at_run + 1] << np.uint64(21)) | codes[at_run + 2]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0)):
+            hashed ^= hashed >> np.uint64(shift)
+            if factor:
+                hashed *= np.uint64(factor)
+        bits = np.unpackbits(hashed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts = sizes - 2
+        ones = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.uint32)
+        out[at : at + len(some)] = np.packbits(ones * 2 > counts[:, None], axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel()
+    return out
 
 
 def _is_filler(words: list[str]) -> bool:
@@ -225,13 +223,56 @@ def _is_filler(words: list[str]) -> bool:
     usual = sum(w in _FILLER for w in words)
     if usual >= FILLER_WORDS and usual + sum(w in _FILLER_LINKS for w in words) >= FILLER_SHARE * len(words):
         return True
-    if any(w in _FUNCTION_WORDS for w in words):
+    if not usual or any(w in _FUNCTION_WORDS for w in words):
         return False
-    return usual >= 2 or usual >= 1 and len(words) >= 6 and len(set(words)) < len(words) or len(words) >= 10 and usual >= 1
+    return usual >= 2 or len(words) >= 6 and len(set(words)) < len(words) or len(words) >= 10
+
+
+def _is_mash(word: str) -> bool:
+    return word in _MASH or len(word) >= 4 and any(word in row or word[::-1] in row for row in _KEYS)
+
+
+def is_notice(words: list[str]) -> bool:
+    """Whether a segment says nothing but what notices say: its words are theirs or little words, with a thing and a state, or a signal.
+
+    Up to OTHER_SHARE of other words are let pass where things, states and signals make up SURE_SHARE.
+    """
+    if words[0] == "0" or words[0] in ("error", "http", "status", "code"):
+        plain = [w for w in words if w not in ("0", "error", "http", "status", "code")]
+        if " ".join(plain) in _REASONS:
+            return True
+    elif " ".join(words) in _REASONS:
+        return True
+    typed = [w for w in words if _is_mash(w)]
+    others = [w for w in words if not (w in _COVERED or w[0] == "0" or w in typed or typed and w in _DRAWN)]
+    if len(others) > OTHER_SHARE * len(words) or not _PERSONS.isdisjoint(words):
+        return False
+    if not others and len(typed) >= 2 and len(typed) >= 0.4 * sum(w[0] != "0" for w in words):
+        return True
+    if not others and len(words) >= 3 and not _SIGNALS.isdisjoint(words):
+        return True
+    things, states = _THINGS.intersection(words), _STATES.intersection(words)
+    if not _NOT.isdisjoint(words):
+        states |= _IF_NOT.intersection(words)
+    signals = _SIGNALS.intersection(words)
+    said, things = len(things | states | signals), things | signals
+    return bool(things and states) and said >= max(2, (SURE_SHARE if others else NOTICE_SHARE) * len(words))
+
+
+def is_caption(words: list[str]) -> bool:
+    """Whether a segment is a label of an interface, or a place held in a template: parts and acts with hardly another word."""
+    if not _DRAWN.issuperset(words):
+        return False
+    parts, acts = sum(w in _PARTS or w in _PLACES for w in words), sum(w in _ACTS for w in words)
+    if "here" in words:
+        return not _PLACES.isdisjoint(words) and not {"see", "view", "the", "a"} & set(words)
+    if "the" in words or "a" in words or parts + acts < max(2, PART_SHARE * (len(words) - words.count("0"))):
+        return False
+    return parts >= 1 or words[0] in ("click", "tap", "press", "swipe")
 
 
 def trusted_kind(text: str) -> str | None:
-    """``field``, ``trace`` or ``filler`` where the form of a text alone shows residue. Fields quoted as code don't count."""
+    """``field`` or ``trace`` where the form of a text alone shows residue. Fields quoted as code don't count."""
     low = text.lower()
     if any(sign in low for sign in _FIELD_SIGNS):
         for m in _FIELDS.finditer(text):
@@ -242,108 +283,99 @@ def trusted_kind(text: str) -> str | None:
     return None
 
 
-def _near_trusted():
-    """A test of many segments: near a trusted wording by SimHash, and with enough of its words. Words are counted first, as few segments have them."""
-    seeds = trusted_segments()
-    seed_hash = simhash(seeds)
-    seed_words = [set(s.split()) for s in seeds]
-    number = {w: k for k, w in enumerate(sorted(set().union(*seed_words)))}
-    holds = np.zeros((len(number), len(seeds)), np.int16)
-    for j, words in enumerate(seed_words):
-        holds[[number[w] for w in words], j] = 1
-    need = np.array([POOL_WORDS * len(words) for words in seed_words])
-
-    def test(some: list[str]) -> np.ndarray:
-        near = np.zeros(len(some), bool)
-        flat: list[int] = []
-        starts, which = [], []
-        for k, text in enumerate(some):
-            known = [number[w] for w in set(text.split()) if w in number]
-            if known:
-                which.append(k)
-                starts.append(len(flat))
-                flat += known
-        if not flat:
-            return near
-        enough = np.add.reduceat(holds[flat], starts, axis=0) >= need
-        close = np.flatnonzero(enough.any(axis=1))
-        hashes = simhash([some[which[k]] for k in close])
-        within = np.bitwise_count(hashes[:, None] ^ seed_hash[None, :]) <= POOL_BITS
-        near[[which[k] for k in close[(within & enough[close]).any(axis=1)]]] = True
-        return near
-
-    return test
+def segment_kind(segment: str) -> str | None:
+    """``filler`` or ``wording`` for a segment that is trusted to be residue by itself."""
+    words = segment.split()
+    if _is_filler(words):
+        return "filler"
+    return "wording" if is_notice(words) or is_caption(words) else None
 
 
 def _pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    near_trusted = _near_trusted()
-    seen: dict[str, bool] = {}
+    """The nodes: ``id, kind, segment, hash`` of each different segment of each row, kind being null where it isn't trusted.
+
+    A row with a field or a trace gives one row more, without a segment.
+    """
+    kinds: dict[str, str | None] = {}
     for frame in batches:
-        rows: list[tuple[int, str, str | None]] = []
-        per_row: list[tuple[int, list[str]]] = []
+        if len(kinds) > 500_000:
+            kinds.clear()
+        rows: list[tuple[int, str | None, str | None]] = []
         for key, text in zip(frame["id"], frame["text"], strict=True):
             if not isinstance(text, str):
                 continue
-            kind = trusted_kind(text)
-            parts = segments(text)
-            if kind is None and any(_is_filler(p.split()) for p in parts):
-                kind = "filler"
-            if kind:
+            if kind := trusted_kind(text):
                 rows.append((key, kind, None))
-            else:
-                per_row.append((key, [p for p in parts if p.count(" ") < LONGEST]))
-        fresh = list({p for _, parts in per_row for p in parts if p not in seen})
-        if len(seen) > 500_000:
-            seen.clear()
-            fresh = list({p for _, parts in per_row for p in parts})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            seen.update(zip(some, near_trusted(some).tolist(), strict=True))
-        rows += [(key, "wording", p) for key, parts in per_row for p in dict.fromkeys(parts) if seen[p]]
-        yield pd.DataFrame(rows, columns=["id", "kind", "segment"]).astype({"id": "int64"})
+            for part in dict.fromkeys(segments(text)):
+                if part not in kinds:
+                    kinds[part] = segment_kind(part)
+                rows.append((key, kinds[part], part))
+        different = list({part for _, _, part in rows if part is not None})
+        hashes = dict(zip(different, letter_simhash(different).tolist(), strict=True))
+        out = pd.DataFrame(rows, columns=["id", "kind", "segment"]).astype({"id": "int64"})
+        yield out.assign(hash=pd.array([hashes.get(part) for _, _, part in rows], dtype="Int64"))
+
+
+def _keys(nodes: DataFrame, reach: int) -> DataFrame:
+    """Each node once for each table, and, with a reach, for the neighbouring classes of length, which a link can span."""
+    length_class = F.floor(F.log(F.length("segment")) / float(-np.log(SIMILARITY))).cast("int")
+    width = 64 // TABLES
+    part = lambda t: F.shiftrightunsigned(F.col("hash"), t * width).bitwiseAND(F.lit(2**width - 1)).cast("int")
+    keyed = nodes.select("segment", "hash", length_class.alias("cls"), F.posexplode(F.array(*map(part, range(TABLES)))).alias("t", "part"))
+    shifts = F.explode(F.array(*[F.lit(k) for k in range(-reach, reach + 1)])) if reach else F.lit(0)
+    keyed = keyed.withColumn("shift", shifts)
+    return keyed.select("segment", "hash", (((F.col("cls") + F.col("shift")) * TABLES + F.col("t")) * 2**width + F.col("part")).alias("key"))
+
+
+def _linked(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``segment, hash`` of the nodes with a link to a labelled one. Few labelled wordings are sent to the nodes; many are shuffled."""
+    few = labelled.limit(PROBES + 1).count() <= PROBES
+    probes = _keys(labelled, 1).withColumnsRenamed({"segment": "known", "hash": "known_hash"})
+    met = (
+        _keys(nodes, 0).join(F.broadcast(probes) if few else probes, "key")
+        .where(F.bit_count(F.col("hash").bitwiseXOR(F.col("known_hash"))) <= LINK_BITS)
+        .select("segment", "hash", "known")
+        .distinct()
+    )
+    edits = F.levenshtein("segment", "known")
+    return met.where(edits <= (1 - SIMILARITY) * F.greatest(F.length("segment"), F.length("known"))).select("segment", "hash").distinct()
+
+
+def spread_labels(nodes: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The segments of all components of the link graph that hold a trusted one, trusted ones left out.
+
+    nodes: ``segment, hash``, repeats allowed; trusted: the same. Each round labels what is linked to the segments labelled
+    in the round before, so that the labelled part of the graph alone is searched, and no component is cut short.
+    """
+    frontier = written(trusted.select("segment", "hash").distinct())
+    seen, spread = frontier.select("segment"), None
+    for _ in range(MAX_ROUNDS):
+        frontier = written(_linked(nodes, frontier).join(seen, "segment", "left_anti"))
+        if frontier.isEmpty():
+            return spread if spread is not None else frontier.select("segment")
+        seen = seen.unionByName(frontier.select("segment"))
+        spread = frontier.select("segment") if spread is None else spread.unionByName(frontier.select("segment"))
+    raise RuntimeError(f"labels did not settle in {MAX_ROUNDS} rounds")
 
 
 def residue_rows(df: DataFrame, id_col: str = "idx", text_col: str = "text") -> DataFrame:
     """``id, kind`` of every row that holds residue: ``field``, ``trace``, ``filler`` or ``wording``.
 
-    Null, empty and blank texts aren't residue; rows with a null id are left out. Other columns are ignored.
+    Null, empty and blank texts aren't residue; rows with a null id are left out. Other columns are ignored. Filler and
+    traces are told by form however they vary, so only wordings look for others like them.
     """
     spark = df.sparkSession
     ship_package(spark)
     chosen = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    found = cut_lineage(chosen.mapInPandas(_pool, "id bigint, kind string, segment string"))
-    seeds = trusted_segments()
-    known = spark.createDataFrame([(s, True) for s in seeds], "segment string, trusted boolean")
-    nodes = (
-        found.where("segment IS NOT NULL").select("segment", F.lit(False).alias("trusted")).unionByName(known)
-        .groupBy("segment").agg(F.max("trusted").alias("trusted"))
-    )
-
-    @F.pandas_udf("bigint")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series(letter_simhash(texts.tolist()))
-
-    nodes = cut_lineage(nodes.select(F.xxhash64("segment").alias("node"), "segment", "trusted", hashed("segment").alias("hash")))
-    tables = nodes.select("node", "segment", "hash", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t")).select(
-        "node", "segment", "hash", "t", F.expr(f"(shiftrightunsigned(hash, t * {64 // TABLES}) & {2 ** (64 // TABLES) - 1})").alias("part")
-    )
-    a, b = tables.alias("a"), tables.alias("b")
-    links = (
-        a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")))
-        .where(F.bit_count(F.col("a.hash").bitwiseXOR(F.col("b.hash"))) <= LINK_BITS)
-        .where(
-            F.levenshtein(F.col("a.segment"), F.col("b.segment"))
-            <= (1 - SIMILARITY) * F.greatest(F.length("a.segment"), F.length("b.segment"))
-        )
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        .distinct()
-    )
-    parts = connected_components(links)
-    labelled = nodes.join(parts, "node", "left").select("segment", "trusted", F.coalesce("component", "node").alias("component"))
-    residue = labelled.where("trusted").select("component").distinct()
-    wordings = labelled.join(residue, "component", "left_semi").select("segment")
-    by_wording = found.where("segment IS NOT NULL").join(wordings, "segment", "left_semi").select("id", "kind")
-    return found.where("segment IS NULL").select("id", "kind").unionByName(by_wording).distinct()
+    found = written(chosen.mapInPandas(_pool, "id bigint, kind string, segment string, hash bigint"))
+    usual = segments(TRUSTED)
+    seeds = spark.createDataFrame(list(zip(usual, letter_simhash(usual).tolist(), strict=True)), "segment string, hash bigint")
+    trusted = found.where("kind = 'wording'").select("segment", "hash").unionByName(seeds)
+    spread = spread_labels(found.where("segment IS NOT NULL AND kind IS NULL").select("segment", "hash"), trusted)
+    spread = spread.unionByName(seeds.select("segment").distinct())
+    few = spread.limit(PROBES + 1).count() <= PROBES
+    reached = found.where("kind IS NULL").join(F.broadcast(spread) if few else spread, "segment", "left_semi").select("id", F.lit("wording").alias("kind"))
+    return found.where("kind IS NOT NULL").select("id", "kind").unionByName(reached).distinct()
 
 
 def without_residue(df: DataFrame, id_col: str = "idx", text_col: str = "text") -> DataFrame:

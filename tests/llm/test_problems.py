@@ -243,6 +243,275 @@ def test_residue(spark):
     assert residue.residue_rows(table(spark, [])).count() == 0
 
 
+#: Notices and captions as browsers, servers and page builders word them; none stands in residue.TRUSTED.
+USUAL = """
+    Error establishing a database connection
+    This site can't be reached
+    Rate limit exceeded
+    Accept all cookies
+    Kindly switch on scripts in your web browser
+    Your connection was interrupted
+    The connection has timed out
+    This page is under construction
+    Web server is down
+    Origin is unreachable
+    The page you are looking for does not exist
+    You must have JavaScript enabled to use this form
+    Please allow cookies in your browser settings
+    We have updated our cookie policy
+    By using this site you accept our cookies
+    Please sign in again to view this content
+    Your account does not have access to this page
+    Sorry, this post is no longer available
+    This request has been blocked
+    An error occurred while loading the page
+    Failed to load resource
+    The service is currently unavailable
+    Video unavailable
+    Image could not be loaded
+    Loading video player
+    Audio transcript
+    Close caption window
+    Enter a description here
+    Your logo here
+    Add your title here
+    Ihr Browser unterstützt kein JavaScript
+    Die angeforderte Seite konnte nicht geladen werden
+    Sitzung abgelaufen
+    Dieser Inhalt ist nicht verfügbar
+    Zugriff verweigert
+    La página que busca no existe
+    Su sesión ha caducado
+    Error interno del servidor
+    Este contenido no está disponible
+    La page demandée est introuvable
+    Votre session a expiré
+    Erreur interne du serveur
+    A página não foi encontrada
+    Sua sessão expirou
+    Erro interno do servidor
+    Page nahi mila
+    Cookies must be enabled to log in
+    This browser is no longer supported
+    Scripts are blocked on this page
+    Enable cookies and reload the page
+    The server returned an invalid response
+    The page has expired due to inactivity
+    Unable to connect to the database
+    Your request could not be processed
+    Session timed out, please log in again
+    You are not authorized to view this page
+    The requested resource is not available
+    This account has been suspended
+    The file you requested was not found
+    Too many login attempts
+    Please complete the security check to access this site
+    Our site is down for maintenance
+    Sorry, we could not find that page
+    The link is broken or the page was removed
+    Content not loading? Refresh the page
+    Please try again in a few minutes
+    Video failed to load
+    Show caption text
+    Close this window
+    Photo description
+    Enter text here
+    Subtitle goes here
+    Sample headline here
+    Tap to play video
+    Press to zoom image
+    JavaScript ist in Ihrem Browser deaktiviert
+    Bitte laden Sie die Seite neu
+    Der Server ist nicht erreichbar
+    Diese Seite verwendet Cookies
+    Fehler beim Laden der Seite
+    Active las cookies en su navegador
+    El servidor no responde
+    La sesión ha expirado
+    Utilizamos cookies en este sitio
+    Activez JavaScript dans votre navigateur
+    Le serveur ne répond pas
+    Impossible de charger la page
+    Ce site utilise des cookies
+    Ative os cookies no seu navegador
+    O servidor não responde
+    Não foi possível carregar a página
+    Este site usa cookies
+    Please turn on JavaScript in your browser settings
+    Third-party cookies are blocked
+    Manage cookie preferences
+    Your browser version is too old for this site
+    The proxy server refused the connection
+    This page has moved permanently
+    Connection reset by the server
+    The database is temporarily offline
+    Your login has expired, please sign in again
+    You need permission to access this file
+    Page is loading, please wait
+    The website encountered an unexpected error
+    The feed could not be loaded
+    This video has been removed
+    This content was deleted by the author
+    Request failed with status code 500
+    Access is restricted to subscribers
+    Unsupported browser version
+    Our servers are overloaded, try again later
+    Play audio
+    Hide caption
+    Expand image
+    Type your text here
+    Body text goes here
+    Insert image here
+    Edit this headline
+    Loading player
+    Ihre Sitzung ist abgelaufen
+    Bitte akzeptieren Sie Cookies
+    Der Inhalt konnte nicht gefunden werden
+    Ha ocurrido un error en el servidor
+    Acepte las cookies para continuar
+    No se pudo cargar la página
+    Une erreur est survenue sur le serveur
+    Acceptez les cookies pour continuer
+    Ocorreu um erro no servidor
+    Aceite os cookies para continuar
+    Server error aaya hai, baad mein koshish karein
+    Please disable your ad blocker to continue
+    Your browser blocked this script
+    Cookies help us deliver our services
+    The page took too long to respond
+    Your IP address has been blocked
+    This page cannot be displayed
+    A network error occurred
+    Could not connect to the server
+    Your session was closed for security reasons
+    Please log in to see this page
+    You do not have access to this content
+    Service is not responding
+    The video player could not start
+    Too many connections
+    This site is temporarily unavailable
+    The page is no longer available
+    Post not available
+    Content is blocked in your region
+    Upload failed, please try again
+    JavaScript seems to be turned off
+    Pause video
+    Image caption
+    Your headline here
+    Enter your title here
+    Dummy text goes here
+    Click to add text
+    Show translation
+    Bitte melden Sie sich an, um fortzufahren
+    Die Verbindung wurde unterbrochen
+    Sie haben keine Berechtigung für diese Seite
+    Su navegador no es compatible
+    Habilite las cookies para continuar
+    Error al cargar el contenido
+    Votre navigateur n'est pas compatible
+    Vous n'avez pas accès à cette page
+    Seu navegador não é compatível
+    Habilite o JavaScript para continuar
+    Page load nahi ho raha, phir se koshish karein
+""".strip().splitlines()
+TALK = """
+    A client still asks visitors to enable JavaScript for a plain price list, and I have opinions
+    Access denied was the title of my talk in Bonn
+    The error rate went from 4% to 0.1% after that change
+    We moved our site to a new host in May
+    Our page now loads in two seconds
+    I broke the server again and learned a lot
+    See the video below
+    More on this page soon
+    Read our new post on error budgets
+    We baked cookies for the whole team
+    Your feedback made this post better
+    The video of the talk is on our site now
+    Nobody reads error messages, so we rewrote ours
+    The page nobody opened was our pricing page
+    Cookies and coffee at the booth
+    You asked for more content, here it is
+    Thank you for the many requests
+    Link in the comments
+    Our service desk closed 40 requests
+    Try this: write one page a day
+    We closed the session with a quiz
+    This image changed how we work
+    She found a better way to load the van
+    Please share this post
+""".strip().splitlines()
+
+
+def test_usual_notices_are_trusted_by_what_they_are_made_of():
+    told = [all(residue.segment_kind(p) for p in residue.segments(t)) for t in USUAL]
+    assert len(told) > 150 and sum(told) >= 0.88 * len(told)
+    assert not any(residue.segment_kind(p) for t in TALK for p in residue.segments(t))
+
+
+def slipped(rng, text):
+    """A text with a slip or two of the pen, or with a word more."""
+    letters = list(text)
+    for _ in range(rng.choice([1, 1, 2])):
+        k = rng.randrange(1, len(letters) - 1)
+        letters[k : k + 1] = rng.choice([[], [letters[k], letters[k]], [rng.choice("aeioulnrst")], [letters[k], rng.choice("aeioulnrst")]])
+    return "".join(letters)
+
+
+def test_labels_spread_to_slips_of_the_pen(spark):
+    rng = random.Random(4)
+    known = [t for t in USUAL if len(t) >= 20 and all(residue.segment_kind(p) for p in residue.segments(t))]
+    wrong = [w for t in known for _ in range(3) if (w := slipped(rng, t)) and not any(residue.segment_kind(p) for p in residue.segments(w))]
+    found = {r.id for r in residue.residue_rows(table(spark, wrong + known)).collect()}
+    assert len(wrong) > 40 and set(range(len(wrong), len(wrong) + len(known))) <= found
+    assert len(found & set(range(len(wrong)))) >= 0.9 * len(wrong)
+    assert not residue.residue_rows(table(spark, TALK)).collect()
+
+
+def test_half_of_the_usual_wordings_find_the_rest(spark, monkeypatch):
+    lines = residue.TRUSTED.strip().splitlines()
+    rows = table(spark, lines + [f"A post of ten words or more about a van and snow.\n{x} again" for x in lines])
+    every = {r.id for r in residue.residue_rows(rows).collect()}
+    monkeypatch.setattr(residue, "TRUSTED", "\n".join(lines[::2]))
+    half = {r.id for r in residue.residue_rows(rows).collect()}
+    assert every >= set(range(len(lines))) and len(half) >= 0.9 * len(every)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_spread_labels_against_brute_force(spark):
+    rng = random.Random(12)
+    chain = ["the quick station master closes the green gate at noon"]
+    for _ in range(6):
+        chain.append(slipped(rng, chain[-1]))
+    texts = list(dict.fromkeys(chain + [slipped(rng, "nothing of this is near to the other sentence of the day") for _ in range(6)] + ["x " * 400 + "end", "x " * 399 + "end"]))
+    hashes = residue.letter_simhash(texts).tolist()
+    near = lambda i, j: distance(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) and (hashes[i] ^ hashes[j]).bit_count() <= residue.LINK_BITS - 9
+    reached, open_ = {0}, [0]
+    while open_:
+        i = open_.pop()
+        fresh = {j for j in range(len(texts)) if j not in reached and near(i, j)}
+        reached |= fresh
+        open_ += fresh
+    nodes = spark.createDataFrame([*zip(texts, hashes, strict=True)] * 2, "segment string, hash bigint")
+    found = {r.segment for r in residue.spread_labels(nodes, nodes.where(F.col("segment") == texts[0])).collect()}
+    assert {texts[i] for i in reached} - {texts[0]} <= found <= set(chain)
+    assert residue.spread_labels(nodes.where("hash IS NULL"), nodes.where("hash IS NULL")).count() == 0
+
+
+def test_long_segments_are_nodes_too():
+    long = "please enable javascript to view this page and then this page and also that page as this page needs javascript and cookies in your browser to work"
+    assert len(long.split()) > 18 and residue.segment_kind(residue.segments(long)[0]) == "wording"
+    frame = next(residue._pool(iter([pd.DataFrame({"id": [1], "text": ["word " * 5000]})])))
+    assert len(frame) == 1 and len(frame["segment"][0].split()) == 5000
+
+
 def test_filler_with_words_of_languages():
     bad = [
         "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
