@@ -39,14 +39,14 @@ SAMPLE_ROWS = 250
 #: The most evidence, in nats, that one word gives for one language over another.
 WORD_BOUND = 4.0
 #: The most that a word gives which the fit never met; names written small are such.
-UNMET_BOUND = 0.75
+UNMET_BOUND = 1.0
 #: Weight of the pooled piece probabilities in those of a language, in pieces.
 POOLED = 60.0
-#: A sentence speaks for a language from this many words and this margin in nats over the next one; a foreign one needs more.
+#: A sentence speaks for the main language of its text from this many words and this margin in nats over the next one.
 LEAST_WORDS, LEAST_MARGIN = 3, 3.0
-FOREIGN_WORDS, FOREIGN_MARGIN = 4, 6.0
-#: Log odds for a sentence to be in the language that most of the text is in.
-HOME = 2.5
+#: Log odds for a sentence to be in the language that most of the text is in. For another one the margin alone decides; it is
+#: SHOUT_MARGIN in a text without small letters, where names can't be told from words.
+HOME, SHOUT_MARGIN = 2.0, 6.0
 
 #: Sentences and words of each language to begin the fit with.
 SEEDS = {
@@ -92,7 +92,10 @@ _WORDS = re.compile(
     re.I,
 )
 _ADDRESS = re.compile(r"[@#\d_.+\[( ]")
-_CUT = 30
+#: Sums of probabilities under this are worked out again as logarithms, which don't run out of range.
+_TINY = 1e-280
+#: Words whose evidence a model keeps from one batch to the next.
+_KEPT_WORDS = 150_000
 
 
 def normal_label(label) -> F.Column:
@@ -147,11 +150,9 @@ class LanguageModel:
 
     def log_probability(self, word: str) -> np.ndarray:
         """Logarithm of a word's probability in each language, over all its segmentations."""
-        total = np.zeros(len(LANGUAGES))
-        for k in range(0, len(word), _CUT):
-            part = ("▁" if k == 0 else "") + word[k : k + _CUT]
-            total += np.log(self._forward(part)[-1])
-        return total
+        part = "▁" + word
+        total = self._forward(part)[-1]
+        return np.log(total) if total.min() > _TINY else self._log_forward(part)
 
     def _forward(self, part: str) -> np.ndarray:
         n, p, get = len(part), self.probabilities, self.pieces.get
@@ -166,21 +167,34 @@ class LanguageModel:
                     alpha[j] += alpha[i] * self._floor
         return alpha
 
+    def _log_forward(self, part: str) -> np.ndarray:
+        """The last row of ``_forward`` as logarithms, for long words; only as many rows are kept as a piece is long."""
+        log, floor = np.log(self.probabilities), np.log(self._floor)
+        rows = {0: np.zeros(len(LANGUAGES))}
+        for j in range(1, len(part) + 1):
+            terms = []
+            for i in range(max(0, j - self._longest), j):
+                k = self.pieces.get(part[i:j])
+                if k is not None:
+                    terms.append(rows[i] + log[k])
+                elif i == j - 1:
+                    terms.append(rows[i] + floor)
+            rows[j] = np.logaddexp.reduce(terms, axis=0)
+            rows.pop(j - self._longest, None)
+        return rows[len(part)]
+
     def evidence(self, word: str) -> int:
         """Row number of a word's bounded evidence: log odds against its best language, no lower than the bound."""
         known = self._scores.get(word)
         if known is None:
-            if len(self._rows) > 150_000:
-                self._scores.clear()
-                self._rows.clear()
             log = self.log_probability(word)
             known = self._scores[word] = len(self._rows)
             self._rows.append(np.maximum(log - log.max(), -(WORD_BOUND if word in self.met else UNMET_BOUND)))
         return known
 
     def sentence_scores(self, sentences: list[list[str]]) -> np.ndarray:
-        """Summed evidence of each sentence, one column for each language."""
-        if len(self._rows) > 100_000:
+        """Summed evidence of each sentence, one column for each language. What is kept of earlier calls goes before row numbers are taken."""
+        if len(self._rows) > _KEPT_WORDS:
             self._scores.clear()
             self._rows.clear()
         index = [self.evidence(w) for words in sentences for w in words]
@@ -199,7 +213,7 @@ def _expected(model: LanguageModel, words: Counter, language: int) -> np.ndarray
     counts = np.zeros(len(model.pieces))
     p = model.probabilities[:, language]
     for word, n in words.items():
-        part = "▁" + word[:_CUT]
+        part = "▁" + word
         size = len(part)
         edges = [(i, j, k) for j in range(1, size + 1) for i in range(max(0, j - model._longest), j) if (k := model.pieces.get(part[i:j])) is not None]
         alpha, beta = [0.0] * (size + 1), [0.0] * (size + 1)
@@ -208,27 +222,41 @@ def _expected(model: LanguageModel, words: Counter, language: int) -> np.ndarray
             alpha[j] += alpha[i] * p[k]
         for i, j, k in reversed(edges):
             beta[i] += beta[j] * p[k]
-        if alpha[size] > 0:
+        if min(alpha[size], beta[0]) > _TINY:
             for i, j, k in edges:
                 counts[k] += n * alpha[i] * p[k] * beta[j] / alpha[size]
+        else:
+            _expected_of_long(edges, p, size, n, counts)
     return counts
 
 
+def _expected_of_long(edges: list[tuple[int, int, int]], p: np.ndarray, size: int, n: int, counts: np.ndarray) -> None:
+    """Adds the expected counts of a word whose sums are out of the range of numbers, by logarithms."""
+    log = np.log(np.maximum(p, 1e-300))
+    alpha, beta = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+    alpha[0] = beta[size] = 0.0
+    for i, j, k in edges:
+        alpha[j] = np.logaddexp(alpha[j], alpha[i] + log[k])
+    for i, j, k in reversed(edges):
+        beta[i] = np.logaddexp(beta[i], beta[j] + log[k])
+    if np.isfinite(alpha[size]):
+        for i, j, k in edges:
+            counts[k] += n * np.exp(alpha[i] + log[k] + beta[j] - alpha[size])
+
+
 def _pieces_of(lines: bytes, corpus: set[str]) -> dict[str, int]:
     """The vocabulary's pieces that occur in the words of the corpus, a leading space being the start of a word; and all single characters."""
-    possible = set()
-    for word in corpus:
-        part = "▁" + word[:_CUT]
-        possible |= {part[i:j] for i in range(len(part)) for j in range(i + 1, min(len(part), i + 16) + 1)}
-    kept = {c for word in corpus for c in "▁" + word}
+    fixed = set()
     for line in lines.splitlines():
         try:
-            piece = base64.b64decode(line.split()[0]).decode()
+            fixed.add(base64.b64decode(line.split()[0]).decode().replace(" ", "▁").lower())
         except (UnicodeDecodeError, IndexError):
             continue
-        piece = piece.replace(" ", "▁").lower()
-        if piece in possible:
-            kept.add(piece)
+    sizes = sorted({len(piece) for piece in fixed if piece[1:].isalpha()} | {1})
+    kept = {c for word in corpus for c in "▁" + word}
+    for word in corpus:
+        part = "▁" + word
+        kept |= {piece for size in sizes for i in range(len(part) - size + 1) if (piece := part[i : i + size]) in fixed}
     return {piece: k for k, piece in enumerate(sorted(kept))}
 
 
@@ -304,7 +332,8 @@ def analyse(model: LanguageModel, texts: list[str | None]) -> list[list[tuple[in
     margin = ranked[:, -1] - ranked[:, -2]
     sure = (1.0 / np.exp(scores - ranked[:, -1:]).sum(axis=1)).tolist()
     foreign = best != own
-    speaks = (sizes >= np.where(foreign, FOREIGN_WORDS, LEAST_WORDS)) & (margin >= np.where(foreign, FOREIGN_MARGIN, LEAST_MARGIN))
+    shouted = np.repeat([bool(t) and t == t.upper() for t in texts], counts)
+    speaks = (foreign | (sizes >= LEAST_WORDS)) & (margin >= np.where(foreign & shouted, SHOUT_MARGIN, LEAST_MARGIN))
     best, speaks, sizes = best.tolist(), speaks.tolist(), sizes.tolist()
     out: list[list[tuple[int, int, str, float, bool]]] = []
     for p, at, main in zip(parts, starts.tolist(), home.tolist(), strict=True):

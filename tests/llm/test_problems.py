@@ -66,6 +66,41 @@ def test_forward_sums_all_segmentations(model):
         assert np.allclose(model.log_probability(word), np.log(brute("▁" + word)))
 
 
+def test_long_words_are_scored_whole(model):
+    whole = "donaudampfschifffahrtsgesellschaft" * 2
+    assert np.allclose(model._log_forward("▁" + whole), model.log_probability(whole))
+    huge = "qzx" * 700
+    assert np.isfinite(model.log_probability(huge)).all() and not np.allclose(model.log_probability(huge), model.log_probability(huge[:30]))
+    fitted = language.fit_model([(f"und das ist {whole * 20} gewesen", "German")] * 3)
+    assert whole * 20 in fitted.met
+
+
+def test_a_batch_of_many_new_words(model):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [letters[i % 26] + letters[i // 26 % 26] + letters[i // 676 % 26] + letters[i // 17576 % 26] for i in range(200_000)]
+    own = language.LanguageModel(model.pieces, model.probabilities, model.met)
+    batches = [[words[k : k + 20] for k in range(at, at + 100_000, 20)] for at in (0, 100_000)]
+    together = own.sentence_scores(batches[0] + batches[1])
+    apart = np.concatenate([language.LanguageModel(model.pieces, model.probabilities, model.met).sentence_scores(b) for b in batches])
+    assert np.allclose(together, apart) and np.allclose(own.sentence_scores(batches[0]), apart[:5000])
+
+
+#: Short sentences whose words are mostly none of the seeds.
+SHORT = {
+    "Spanish": ["Gracias a todos.", "Mañana será otro día.", "Vale la pena intentarlo.", "Nos vemos pronto, amigos."], "German": ["Danke an mein Team.", "Das hat sich gelohnt.", "Morgen geht es weiter.", "Wir freuen uns auf euch."],
+    "French": ["Merci à toute l'équipe.", "On en reparle demain.", "C'était une belle journée.", "Bon courage à vous."], "Portuguese": ["Obrigado a toda a equipe.", "Amanhã tem mais.", "Valeu muito a pena.", "Foi um dia incrível."],
+    "Hinglish": ["Kal phir milte hain.", "Bahut maza aaya yaar.", "Sabko dil se shukriya.", "Kaam abhi baaki hai."], "English": ["See you all tomorrow.", "That was worth it.", "Thanks for reading this.", "We will be back soon."],
+}
+
+
+def test_short_foreign_sentences(model):
+    asked = [(host, name, s) for host in ("English", "German", "Spanish", "French") for name, some in SHORT.items() if name != host for s in some]
+    found = language.analyse(model, [f"{CLEAR[host]} {CLEAR[host]} {s}" for host, _, s in asked])
+    spoken = [{x[2] for x in segments if x[4]} for segments in found]
+    assert sum(name in got for (_, name, _), got in zip(asked, spoken, strict=True)) >= 0.65 * len(asked)
+    assert sum(len(got - {host, name}) for (host, name, _), got in zip(asked, spoken, strict=True)) <= 0.05 * len(asked)
+
+
 def test_label_errors(spark, model):
     labels = [("English", "en", 0), ("English", " ENGLISH", 0), ("English", None, 1), ("English", "N/A", 1), ("German", "English", 1), ("German", "deu", 0), ("Hindi", "hi", 0)]
     rows = [(i, CLEAR[spoken], label) for i, (spoken, label, _) in enumerate(labels)] + [(50, CLEAR["English"] + "\n" + CLEAR["French"], "English"), (51, None, None), (52, "🔥", "")]
