@@ -103,12 +103,12 @@ def _fill(elements: np.ndarray, document: np.ndarray, out: np.ndarray) -> None:
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
-    """One 32-bit key per band and document, as int32 (documents, BANDS)."""
+    """One 40-bit key per band and document, as int64 (documents, BANDS)."""
     rows = signature.reshape(len(signature), BANDS, ROWS_PER_BAND).astype(np.uint64)
     key = np.zeros(rows.shape[:2], np.uint64)
     for k in range(ROWS_PER_BAND):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
-    return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (key >> np.uint64(24)).view(np.int64)
 
 
 def sketch(signature: np.ndarray) -> list[np.ndarray]:
