@@ -211,6 +211,16 @@ def test_bands_miss_few_pairs_at_the_threshold():
     assert met >= 0.995 * pairs
 
 
+def test_hot_bands_lose_no_pair(spark):
+    rng = np.random.default_rng(2)
+    sketches = rng.integers(0, 2**62, 4, dtype=np.int64)
+    rows = [(int(key), i, int(sketches[i % 4]), int(sketches[i % 4])) for i in range(300) for key in (7, 1000 + i // 3, 5000 + i)]
+    bands = spark.createDataFrame(rows, "key bigint, id bigint, s1 bigint, s2 bigint")
+    plain = {(r.a, r.b) for r in neardup._met(bands, 0.75).collect()}
+    dealt = neardup._met(bands, 0.75, hot_rows=20, hot_share=1).collect()
+    assert len(plain) == len(dealt) > 10_000 and {(r.a, r.b) for r in dealt} == plain
+
+
 def test_best_fields(spark):
     rows = [(1, "aa", 5, ["x", " ", "y", "x"]), (2, "aaa", None, None), (3, "bbb", 9, ["x", "y"]), (4, None, 9, ["z", None]), (5, "c", None, []), (6, "c", None, [])]
     posts = spark.createDataFrame(rows, "idx bigint, text string, engagement bigint, tags array<string>").withColumn("group_id", F.lit(0)).withColumn("field", F.lit("f"))
@@ -222,6 +232,24 @@ def test_best_fields(spark):
     assert representative.best_fields(posts.where("idx < 0"), groups).count() == 0
 
 
+def test_best_records_by_completeness_trust_and_recency(spark):
+    rows = [
+        (1, "aa", 5, ["x"], "English", 2, "import", "2024-01-02 00:00:00"), (2, "bb", 5, ["y"], "English", 2, "voyager", "2024-01-01 00:00:00"),
+        (3, "cc", 5, ["z"], "English", 2, "voyager", "2024-01-03 00:00:00"), (4, "dd", None, ["w"], "English", 2, "voyager", "2024-01-09 00:00:00"),
+        (5, "cc", 5, ["z"], "English", 2, "voyager", None), (6, "d", 1, [], None, None, None, None), (7, "d", 1, [], None, None, None, None),
+    ]
+    posts = spark.createDataFrame(rows + [(3, "cc", 5, ["z"], "English", 2, "voyager", "2024-01-03 00:00:00"), (2, None, 4, None, "", 0, "dom", None)],
+        "idx bigint, text string, engagement bigint, tags array<string>, language string, line_count bigint, origin string, seen string")
+    posts = posts.withColumn("processed_at", F.col("seen").cast("timestamp_ntz"))
+    groups = spark.createDataFrame([(k, 1) for k in (1, 2, 3, 4, 5)] + [(6, 6), (7, 6)], "id bigint, group_id bigint")
+    assert {r.group_idx: r.record_idx for r in representative.best_records(posts, groups).collect()} == {1: 3, 6: 6}
+    built = {r.group_idx: (r.record_idx, r.text, r.engagement, r.tags) for r in representative.consolidated(posts, groups).collect()}
+    assert built == {1: (3, "aa", 5, ["x"]), 6: (6, "d", 1, [])}
+    fixed = {r.group_idx: tuple(r)[1:] for r in representative.best_fields(posts, groups).collect()}
+    assert fixed == {1: (1, 1, 1), 6: (6, 6, 6)}
+    assert representative.consolidated(posts.where("idx < 0"), groups).count() == 0
+
+
 # 5 canonical values
 
 
@@ -578,6 +606,21 @@ def test_personal_data():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_names_by_context_and_numbers_by_checksum():
+    cases = {
+        "Michael Brown sent it": {"PERSON_NAME"}, "Sarah Connor sent it": {"PERSON_NAME"}, "Dr Katherine Johnson said": {"PERSON_NAME"}, "Barack Obama spoke": {"PERSON_NAME"}, "My name is Wei Zhang": {"PERSON_NAME"},
+        "I met Emily Carter there": {"PERSON_NAME"}, "New York Times said so": set(), "the Central Park Zoo": set(), "Thanks to Fenway Foods for this": set(), "THANKS TO MODELLING CASH FLOWS NOW": set(),
+        "YUSRA GALUNOZA TAUGHT ME THIS": {"PERSON_NAME"}, "Visit Maria Street in May": set(), "credit card number 4111 1111 1111 1112": set(), "card 4111 1111 1111 1112": set(), "card 4111 1111 1111 1111": {"ID_NUMBER"},
+        "pay DE89 3704 0044 0532 0130 00": {"ID_NUMBER"}, "pay DE89 3704 0044 0532 0130 01": set(), "call it 12345678A": set(), "call it 12345678Z": {"ID_NUMBER"}, "git@github.com:foo/bar": set(), "pkg@1.2.3": set(),
+    }
+    for text, kinds in cases.items():
+        assert {s[2] for s in pii.find_spans(text)} == kinds, text
+    assert pii.verhoeff("234123412346") and not pii.verhoeff("234123412347") and pii.verhoeff("2363") and not pii.verhoeff("3263")
+    assert pii.dni("12345678Z") and not pii.dni("12345678A") and pii.dni("X1234567L") and pii.cpf("52998224725") and not pii.cpf("52998224726")
+    score = lambda t: pii.find_spans(t)[0][3]
+    assert score("my inbox is a@b.example") > score("so a@b.example") and score("we moved to 95 Elm Street") > score("so 95 Elm Street") and score("my DNI 12345678Z") > score("my DNI 12345678A")
+
+
 def test_gates_lose_nothing():
     cases = {
         "Thanks to Wiebke Hoffmann for this": "PERSON_NAME", "I met Dr. Wiebke Petersson today": "PERSON_NAME", "he wrote —Anna Petersson— there": "PERSON_NAME", "“Anna Petersson” said so": "PERSON_NAME",
