@@ -79,6 +79,7 @@ _INITIALS = re.compile(r"(?: [^\W\d_]\.)* ")
 _LETTERS = r"[^\W\d_]"
 _WORD = re.compile(_LETTERS + r"+")
 _NAME = re.compile(_LETTERS + r"+(?:-" + _LETTERS + r"+)?")
+_CAPITAL = re.compile(r"(?<![^\W_])[^\W\d_a-z]" + _LETTERS + r"+(?:-" + _LETTERS + r"+)?")
 _MAIL = re.compile(
     r"(?:mailto:)?\b[\w][\w.+-]*(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?)[a-z0-9][a-z0-9-]*(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)[a-z0-9-]+)+"
     r"|\b[\w][\w.+-]*\s+at\s+[a-z0-9][a-z0-9-]*(?:(?:\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)[a-z0-9-]+)+",
@@ -132,16 +133,37 @@ _ADDRESSES = [
     re.compile(r"\b(?:(?i:am|im|zum|zur|an der|an den|auf der|auf dem|in der|unter den)) %s \d{1,4} ?[a-z]?, \d{5} %s" % (_NAME_WORD, _NAME_WORD)),
     re.compile(r"\b\d{1,4}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai) (?:(?:de|la|des|du) )*%s%s" % (_NAME_WORD, _TAIL)),
 ]
-#: Words and endings without which a text holds no address: each pattern needs one of them.
-_ADDRESS_WORDS = frozenset(
-    "street st road rd avenue ave lane ln drive boulevard blvd court terrace square close crescent marg nagar gali chowk colony vihar box "
-    "house plot shop am im zum zur der den dem postfach apartado postale postal flat apt apartment calle c plaza avenida avda av paseo rua travessa praça rue place allée chemin via impasse quai".split()
-)
+#: Words and endings, one of which each of the patterns above needs, in their order.
+_STREET_WORDS = frozenset("street st road rd avenue ave lane ln drive boulevard blvd court terrace square close crescent marg nagar gali chowk colony vihar".split())
+_ADDRESS_NEEDS = (
+    _STREET_WORDS, _STREET_WORDS, frozenset("box postfach apartado postale postal".split()), frozenset(),
+    frozenset("calle c plaza avenida avda av paseo rua travessa praça rue boulevard place allée chemin via".split()), frozenset("house plot flat shop".split()),
+    frozenset("am im zum zur der den dem".split()), frozenset("rue avenue boulevard place allée chemin impasse quai".split()),
+)
 _ADDRESS_ENDINGS = ("straße", "strasse", "str", "weg", "platz", "gasse", "allee", "ufer", "damm")
 _BRACKETED_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
-#: Digits without which a text holds no identity number, and no phone number.
-_ID_DIGITS, _PHONE_DIGITS = 2, 7
+#: Words and beginnings of words without which no identity number is named.
+_ID_WORDS = frozenset(
+    "ni national passport pasaporte passaporte passeport ssn social seguridad sécurité segurança aadhar aadhaar pan dni nie nif cpf id identity tax tin permis permiso licencia voter".split()
+)
+_ID_BEGINNINGS = ("reisepass", "sozialversicherung", "personalausweis", "ausweis", "steuer", "driv", "führerschein")
+#: Digits without which a text holds no card, no number of a known shape, no identity number, and no phone number.
+_CARD_DIGITS, _SHAPE_DIGITS, _ID_DIGITS, _PHONE_DIGITS = 13, 4, 4, 7
 _DIGIT = re.compile(r"\d")
+#: What a word may begin or be a part of, in bits: a spelt-out mail address, an identity number, and from _PLACE on each pattern of addresses.
+_DOT, _AT, _NAMES_ID, _PLACE = 1, 2, 4, 8
+_traits: dict[str, int] = {}
+
+
+def _traits_of(word: str) -> int:
+    low = word.lower()
+    if len(_traits) > 300_000:
+        _traits.clear()
+    found = _DOT * (low == "dot") | _AT * (low == "at") | _NAMES_ID * (low in _ID_WORDS or low.startswith(_ID_BEGINNINGS))
+    for k, needs in enumerate(_ADDRESS_NEEDS):
+        found |= (_PLACE << k) * (low in needs or not needs and low.endswith(_ADDRESS_ENDINGS))
+    _traits[word] = found
+    return found
 
 
 def luhn(digits: str) -> bool:
@@ -217,19 +239,22 @@ def _phone_score(text: str, start: int, end: int) -> int:
     return score - 3 * bool(_NOT_PHONE.search(before))
 
 
-def _number_spans(text: str) -> Iterator[tuple[int, int, str, int]]:
-    """Identity, account and card numbers. A span of score 0 is none, and keeps others from taking a part of it."""
-    for pattern, valid in ((_ACCOUNT, mod97), (_CARD, luhn)):
+def _number_spans(text: str, digits: int, named: bool) -> Iterator[tuple[int, int, str, int]]:
+    """Identity, account and card numbers. A span of score 0 is none, and keeps others from taking a part of it.
+
+    digits: how many digits the text has at most; named: whether a word of it may name an identity number.
+    """
+    for pattern, valid in ((_ACCOUNT, mod97), *([(_CARD, luhn)] if digits >= _CARD_DIGITS else [])):
         for m in pattern.finditer(text):
             before = text[max(0, m.start() - BEFORE) : m.start()]
             if not _ID_CUE.search(before) and not _PHONE_BEFORE.search(before):
                 yield m.start(), m.end(), "ID_NUMBER", 6 * (valid(m[0] if pattern is _ACCOUNT else re.sub(r"\D", "", m[0])) and not _NOT_ID.search(before))
-    for cue in _ID_CUE.finditer(text):
+    for cue in _ID_CUE.finditer(text) if named else ():
         link = _ID_LINK.match(text, cue.end())
         token = _ID_TOKEN.match(text, link.end() if link else cue.end())
         if token and (sum(c.isdigit() for c in token[0]) >= 5 or len(token[0]) == 10):
             yield token.start(), token.end(), "ID_NUMBER", 4 + _CHECKED[checked(token[0])]
-    for m in _ID_SHAPE.finditer(text):
+    for m in _ID_SHAPE.finditer(text) if digits >= _SHAPE_DIGITS else ():
         before = text[max(0, m.start() - BEFORE) : m.start()]
         yield m.start(), m.end(), "ID_NUMBER", 3 + _CHECKED[checked(m[0])] - 3 * bool(_NOT_ID.search(before))
 
@@ -264,7 +289,7 @@ def _name_spans(text: str, plain: str) -> Iterator[tuple[int, int, str, int]]:
     one and more around it must speak for a person.
     """
     least = ACCEPT + (text != plain)
-    words = [m for m in _NAME.finditer(text) if m[0][0].isupper() and len(m[0]) >= 2]
+    words = [m for m in _CAPITAL.finditer(text) if m[0][0].isupper()]
     for lead, one, two in zip([None, *words], words, words[1:], strict=False):
         gap = text[one.end() : two.start()]
         if gap == _COMMA:
@@ -302,22 +327,28 @@ def find_spans(text: str | None, gated: bool = True) -> list[tuple[int, int, str
         return []
     plain = text.replace("\xa0", " ")
     cased = _title(plain)
-    words = {w.lower() for w in _WORD.findall(cased)}
+    traits = 0
+    for word in set(_WORD.findall(cased)):
+        traits |= known if (known := _traits.get(word)) is not None else _traits_of(word)
     digits = len(_DIGIT.findall(plain))
+    if not gated:
+        traits, digits = -1, 99
     spans: list[tuple[int, int, str, int]] = []
-    if not gated or "@" in plain or "dot" in words or "at" in words and _BRACKETED_AT.search(plain):
+    if not gated or "@" in plain or traits & _DOT or traits & _AT and _BRACKETED_AT.search(plain):
         spans += [(m.start(), m.end(), "EMAIL", 1 + _mail_score(plain, m.start(), m.end())) for m in _MAIL.finditer(plain)]
     refuted: list[tuple[int, int]] = []
-    if not gated or digits >= _ID_DIGITS:
-        numbers = list(_number_spans(plain))
+    if digits >= _ID_DIGITS:
+        numbers = list(_number_spans(plain, digits, bool(traits & _NAMES_ID)))
         spans += numbers
         refuted = [(a, b) for a, b, _, score in numbers if score == 0]
-    if not gated or digits >= _PHONE_DIGITS:
+    if digits >= _PHONE_DIGITS:
         for m in _DIGITS.finditer(plain):
             if m.end() - m.start() >= 7:
                 spans.append((m.start(), m.end(), "PHONE", _phone_score(plain, m.start(), m.end())))
-    if not gated or not words.isdisjoint(_ADDRESS_WORDS) or any(w.endswith(_ADDRESS_ENDINGS) for w in words):
-        spans += [(m.start(), m.end(), "ADDRESS", 1 + _address_score(cased, m.start(), m.end())) for pattern in _ADDRESSES for m in pattern.finditer(cased)]
+    if digits and traits >= _PLACE or not gated:
+        for k, pattern in enumerate(_ADDRESSES):
+            if traits & (_PLACE << k):
+                spans += [(m.start(), m.end(), "ADDRESS", 1 + _address_score(cased, m.start(), m.end())) for m in pattern.finditer(cased)]
     spans += _name_spans(cased, plain)
     kept: list[tuple[int, int, str, int]] = []
     for s in sorted(spans, key=lambda s: (-s[3], s[0] - s[1], s[0])):
