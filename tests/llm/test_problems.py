@@ -679,6 +679,22 @@ def test_mix(spark):
     assert none.documents.count() == 0 and mixing.reached_shares(none, targets).count() == 3
 
 
+def test_rates_reach_what_can_be_reached():
+    p = np.array([[1, 0, 0], [0, 1, 0], [0, 0, 1], [0.5, 0.5, 0], [0, 0.25, 0.75]])
+    tokens, caps = np.array([1e9, 3e4, 200.0, 5e3, 700.0]), np.array([1.0, 2.0, 5.0, 1.0, 3.0])
+    goal = np.array([5e4, 3e4, 900.0])
+    rates = mixing.fit_rates(p, tokens, caps, goal)
+    assert np.allclose((rates * tokens) @ p, goal, rtol=1e-4) and (rates >= 0).all() and (rates <= caps).all()
+    short = mixing.fit_rates(p[:3], tokens[:3], caps[:3], np.array([5e4, 3e4, 5e3]))
+    assert np.allclose(short * tokens[:3], [5e4, 3e4, 1000.0], rtol=1e-4)
+
+
+def test_rates_that_do_not_settle_are_an_error(monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_STEPS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(np.array([[0.5, 0.5], [0.9, 0.1]]), np.array([10.0, 20.0]), np.array([1.0, 1.0]), np.array([5.0, 3.0]))
+
+
 def test_classifier():
     rows = [("a", "red green blue"), ("b", "one two three")] * 20
     found = mixing.fit_classifier(rows, ["a", "b"])
