@@ -100,8 +100,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
-    model = subjects.fit_on(documents, read_table(spark, sf_dir, "doc_labels"), read_table(spark, sf_dir, "subjects"))
-    return subjects.subject_table(documents, model)
+    return subjects.fitted_subjects(documents, read_table(spark, sf_dir, "doc_labels"), read_table(spark, sf_dir, "subjects"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,108 +1,373 @@
 """Problem 10: the subject areas of each document.
 
-Normalised document vectors of a bounded sample are clustered by bisecting k-means. Leaves are labelled by the hand
-labels in them, as far as their discriminative terms agree; a passage is a mixture of leaves, and so of subjects.
-A document has each subject that a passage of it is clearly about.
+Every document becomes hashed terms, once. Passes over all documents then count in how many of them each term is, fit by
+expectation maximisation which terms speak for which subject (hand labels begin it), and gather the documents, as
+normalised vectors of those terms, in cells. Bisecting k-means clusters the cells; each leaf is labelled by its
+discriminative terms. A passage is a mixture of the leaves it is near to, and so of their subjects, and a document has
+each subject that a passage of it is clearly about. Only hand labels are a bounded sample.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.llm import language
-from postmill.session import ship_package
-
-#: Bounds of the sample: label rows, and other documents, both chosen by a hash of the id.
-LABEL_ROWS, OTHER_ROWS = 4000, 5000
-#: Terms kept: those of at least LEAST_DOCS sampled documents and at most MOST_SHARE of them, the TERMS most frequent.
-TERMS, LEAST_DOCS, MOST_SHARE = 3500, 4, 0.2
-LEAVES, LEAST_LEAF = 90, 12
-SPLIT_ROUNDS, RESTARTS = 12, 2
-#: A term speaks for a subject from this share of it, and a passage is about a subject from this share and this weight.
+from postmill.session import ship_package, written
+
+#: Label rows that the fit takes at most, chosen by a hash of the id.
+LABEL_ROWS = 4000
+#: Terms are hashed to this many places in all languages together.
+PLACES = 1 << 21
+#: What an index has for places without a term, and for terms that tell the language only.
+ABSENT, WEAK = -1, -2
+#: Terms in fewer passages than this, or in as many as this share of a language's documents or more, speak for nothing.
+LEAST_PASSAGES, MOST_SHARE = 3, 0.2
+#: Rounds of the expectation maximisation, steps within a document in each, and the weight of all passages' terms in those of a subject.
+ROUNDS, STEPS, SMOOTH = 6, 3, 20.0
+#: A term of a subject occurs where the other passages of its documents are about the subject at least to this share.
+AGREEMENT = 0.45
+#: A term is discriminative from this share of a subject, and a passage is about a subject from this share of its leaves and this weight of terms.
 TERM_SHARE, PASSAGE_SHARE, PASSAGE_WEIGHT = 0.5, 0.6, 1.8
+#: Cells that documents are gathered in, each around a document chosen by a hash of the id, and places that the terms of their vectors are folded to for the clustering.
+CELLS, CELL_PLACES = 2048, 1 << 13
+#: Leaves at most, and the least share of the documents of one.
+LEAVES, LEAST_LEAF = 200, 0.0005
+SPLIT_ROUNDS, RESTARTS = 8, 4
+#: The nearest leaves share a passage by this power of their cosines: the third one, squared so often.
+SQUARED = 1
 SEED = 11
-#: Rounds of the refinement, and the weight of all passages' terms in those of a subject.
-ROUNDS, SMOOTH = 12, 200.0
-#: A term of a subject occurs where the other passages of its documents are about the subject at least to this share.
-AGREEMENT = 0.3
 
 _SENTENCES = re.compile(r"(?<=[.!?…।])\s+|[\n\r]+")
-_WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[ऀ-ॿ]+")
-_BREAK = re.compile(r"[,;:()\[\]\"“”—–]")
+_WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[ऀ-ॿ]+|[,;:()\[\]\"“”—–]")
 #: Comparisons: what is only likened to something isn't the subject (fixed values).
 _FIGURE = re.compile(
     r"\b(?:felt|feels?|feeling|looked|looks|sounded|sounds|smelled|seemed) like\b|\bas if\b|\bas though\b|\bfühlte? sich (?:\w+ )?wie\b|"
     r"\bse (?:sintió|sentía|siente|sentiu) como\b|\bcomme si\b|\bparecía una?\b|\bjaisa laga\b|\bjaise\b|\bmetaphor",
     re.I,
 )
+#: One of these is in every comparison.
+_FIGURE_SIGNS = (" like", "as if", "as though", "fühlt", " como", "comme si", "parecía un", "jais", "metaphor")
+_hashes: dict[str, int] = {}
 
 
-def sentence_terms(sentence: str) -> list[str]:
-    """Words and pairs of neighbouring words. A word with a capital inside its sentence stays apart from the small one."""
-    out = []
-    shout = sentence == sentence.upper()
-    first = True
-    for part in _BREAK.split(sentence):
-        words = []
-        for w in _WORDS.findall(part):
-            words.append(w.lower() if first or shout else w)
-            first = False
-        out += words
-        out += [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    return out
+def _hashed(word: str) -> int:
+    """Hash of a word; 0 for a mark between words, over which no pair of neighbours goes."""
+    known = _hashes.get(word)
+    if known is None:
+        if len(_hashes) > 300_000:
+            _hashes.clear()
+        known = _hashes[word] = zlib.crc32(word.encode("utf-8", "replace")) | 1 if word[0].isalpha() or word[0] > "ऀ" else 0
+    return known
+
+
+@dataclass
+class Passages:
+    """Documents as hashed terms: ``terms`` of all passages one after the other, each once in its passage, ``sizes`` of the passages, ``owner`` the document of each."""
 
+    ids: np.ndarray
+    langs: list[str]
+    terms: np.ndarray
+    sizes: np.ndarray
+    owner: np.ndarray
 
-def passages(text: str) -> list[list[str]]:
-    """The terms of each sentence or line that isn't a comparison."""
-    return [sentence_terms(s) for s in _SENTENCES.split(text) if s.strip() and not _FIGURE.search(s)]
+
+def encoded(ids: list[int], langs: list[str], texts: list[str | None]) -> Passages:
+    """Words and pairs of neighbouring words of each sentence or line that isn't a comparison.
+
+    A word with a capital inside its sentence stays apart from the small one, unless the sentence is in capitals.
+    """
+    flat: list[int] = []
+    at: list[int] = []
+    owner: list[int] = []
+    for row, text in enumerate(texts):
+        if not text:
+            continue
+        low = text.lower()
+        likened = any(sign in low for sign in _FIGURE_SIGNS) and _FIGURE.search(text) is not None
+        for sentence in _SENTENCES.split(text):
+            if not sentence or likened and _FIGURE.search(sentence):
+                continue
+            words = _WORDS.findall(sentence.lower() if sentence.isupper() else sentence)
+            if not words:
+                continue
+            words[0] = words[0].lower()
+            at.append(len(flat))
+            owner.append(row)
+            flat += map(_hashed, words)
+            flat.append(0)
+    words = np.array(flat, np.uint64)
+    starts = np.array(at, np.int64)
+    passage = np.zeros(len(words), np.int64)
+    passage[starts[1:]] = 1
+    passage = np.cumsum(passage)
+    pairs = np.flatnonzero((words[:-1] > 0) & (words[1:] > 0)) if len(words) else np.zeros(0, np.int64)
+    joint = words[pairs] * np.uint64(0x9E3779B1) + words[pairs + 1] * np.uint64(0x85EBCA77) if len(pairs) else np.zeros(0, np.uint64)
+    said = words > 0
+    term = np.concatenate([words[said], joint ^ (joint >> np.uint64(29))]) & np.uint64(0x7FFFFFFF)
+    key = _different((np.concatenate([passage[said], passage[pairs]]).astype(np.uint64) << np.uint64(31)) | term)
+    passage = (key >> np.uint64(31)).astype(np.int64)
+    sizes = np.bincount(passage, minlength=len(starts))
+    full = sizes > 0
+    return Passages(np.array(ids, np.int64), langs, (key & np.uint64(0x7FFFFFFF)).astype(np.int32), sizes[full], np.array(owner, np.int64)[full])
+
+
+def _different(key: np.ndarray) -> np.ndarray:
+    """``np.unique`` by sorting, which is faster on many integers."""
+    key = np.sort(key)
+    return key[np.append(True, key[1:] != key[:-1])] if len(key) else key
 
 
 @dataclass
 class SubjectModel:
-    """Terms, their weights and their leaf mixtures' subject shares (terms x subjects)."""
+    """Discriminative terms by their place in a language, their weights, the leaves as unit vectors of them, weighted, and the leaves' subjects."""
 
     subjects: list[str]
-    terms: dict[str, int]
-    weights: np.ndarray
-    shares: np.ndarray
-    leaf_labels: list[tuple[str, int, list[str]]]
-
-    def passage_subject(self, terms: list[str]) -> tuple[int, float] | None:
-        """The subject a passage is about and its share of the evidence, or nothing if none is clear."""
-        total = np.zeros(len(self.subjects))
-        for t in set(terms):
-            k = self.terms.get(t)
-            if k is not None:
-                total += self.weights[k] * self.shares[k]
-        weight = total.sum()
-        if weight < PASSAGE_WEIGHT:
-            return None
-        best = int(total.argmax())
-        return (best, float(total[best] / weight)) if total[best] >= PASSAGE_SHARE * weight else None
-
-    def document_subjects(self, text: str | None) -> list[tuple[str, float]]:
-        """``(subject, share of the passages that are about any)``, most first."""
-        if not text:
-            return []
-        found = Counter(p[0] for terms in passages(text) if (p := self.passage_subject(terms)))
-        total = sum(found.values())
-        return [(self.subjects[k], n / total) for k, n in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+    langs: list[str]
+    index: np.ndarray = field(default_factory=lambda: np.full(PLACES, ABSENT, np.int32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    leaves: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    labels: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+
+    def about(self, batch: Passages) -> tuple[np.ndarray, np.ndarray]:
+        """``(document, subject)`` of each passage that is clearly about one."""
+        none = np.zeros(0, np.int64)
+        if not len(self.leaves):
+            return none, none
+        total = np.bincount(np.repeat(np.arange(len(batch.sizes)), batch.sizes), weights=self.weights[batch.terms], minlength=len(batch.sizes))
+        heavy = np.flatnonzero(total >= PASSAGE_WEIGHT)
+        row = batch.terms[np.repeat(total >= PASSAGE_WEIGHT, batch.sizes)]
+        if not len(row):
+            return none, none
+        size = batch.sizes[heavy]
+        start = np.cumsum(size) - size
+        best, sure = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), bool)
+        for at in range(0, len(heavy), 2000):
+            some = slice(at, at + 2000)
+            first, last = start[at], start[at + 2000] if at + 2000 < len(start) else len(row)
+            near = np.add.reduceat(self.leaves[row[first:last]], start[some] - first, axis=0)
+            near /= np.maximum(near.max(axis=1, keepdims=True), 1e-9)
+            near = near * near * near
+            for _ in range(SQUARED):
+                near = near * near
+            share = (near @ self.labels) / np.maximum(near.sum(axis=1, keepdims=True), 1e-9)
+            best[some] = share.argmax(axis=1)
+            sure[some] = share.max(axis=1) >= PASSAGE_SHARE
+        return batch.owner[heavy[sure]], best[sure]
+
+    def found(self, batch: Passages) -> list[tuple[int, int, float]]:
+        """``(document, subject, share of the passages that are about any)`` of documents as rows of this model, in order."""
+        document, subject = self.about(batch)
+        key, count = np.unique(document * len(self.subjects) + subject, return_counts=True) if len(document) else (document, document)
+        document, subject = key // max(len(self.subjects), 1), key % max(len(self.subjects), 1)
+        total = np.bincount(document, weights=count, minlength=1)
+        return [(int(d), int(s), float(n / total[d])) for d, s, n in zip(document, subject, count, strict=True)]
+
+    def document_subjects(self, text: str | None, lang: str = "") -> list[tuple[str, float]]:
+        """``(subject, share)`` of a text, most first."""
+        return [(self.subjects[s], n) for _, s, n in sorted(self.found(known_rows(encoded([0], [lang], [text]), self.index, self.langs)), key=lambda x: (-x[2], x[1]))]
+
+
+def places(terms: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
+    """The place of each term in a language."""
+    mixed = terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.atleast_1d(np.asarray(lang) + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    mixed ^= mixed >> np.uint64(32)
+    return ((mixed * np.uint64(0x94D049BB133111EB)) >> np.uint64(43)).astype(np.int64)
+
+
+def known_rows(batch: Passages, index: np.ndarray, langs: list[str]) -> Passages:
+    """The same documents with the rows of the index in place of terms, without those it hasn't.
+
+    A document without a language counts for the one that has most of its terms.
+    """
+    number = {name: k for k, name in enumerate(langs)}
+    lang = np.array([number.get(name, -1) for name in batch.langs], np.int64)
+    passage = np.repeat(np.arange(len(batch.sizes)), batch.sizes)
+    document = batch.owner[passage]
+    unsaid = np.flatnonzero(lang < 0)
+    if len(unsaid) and len(langs):
+        of = np.isin(document, unsaid)
+        terms, who = batch.terms[of], document[of]
+        hits = [np.bincount(who, weights=index[places(terms, k)] != ABSENT, minlength=len(lang)) for k in range(len(langs))]
+        lang[unsaid] = np.array(hits).argmax(axis=0)[unsaid]
+    row = index[places(batch.terms, lang[document])]
+    return _chosen(batch, row)
+
+
+def _chosen(batch: Passages, row: np.ndarray) -> Passages:
+    """The documents with ``row`` in place of their terms, without the negative ones and the passages that have no others."""
+    known = row >= 0
+    passage = np.repeat(np.arange(len(batch.sizes)), batch.sizes)
+    sizes = np.bincount(passage[known], minlength=len(batch.sizes))
+    full = sizes > 0
+    return Passages(batch.ids, batch.langs, row[known], sizes[full], batch.owner[full])
+
+
+# Passes over all documents. A pass gives rows of numbers whose first ones say what the others are summed for.
+
+Pass = Callable[[Iterator[Passages]], Iterator[np.ndarray]]
+
 
+def _frequency_pass(langs: list[str]) -> Pass:
+    """``(place, language, passages)`` of the terms."""
+    number = {name: k for k, name in enumerate(langs)}
 
-def _split(x: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
-    """Two clusters of unit vectors by spherical k-means; None if they can't be parted."""
+    def run(batches: Iterator[Passages]) -> Iterator[np.ndarray]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lang = np.array([number.get(name, -1) for name in batch.langs], np.int64)
+            of = np.repeat(lang[batch.owner], batch.sizes)
+            for k in np.unique(of[of >= 0]).tolist():
+                if k not in counts and len(counts) >= 16:
+                    yield from _told_counts(counts)
+                    counts = {}
+                counts.setdefault(k, np.zeros(PLACES, np.int32))
+                counts[k] += np.bincount(places(batch.terms[of == k], k), minlength=PLACES).astype(np.int32)
+        yield from _told_counts(counts)
+
+    return run
+
+
+def _told_counts(counts: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
+    for k, n in counts.items():
+        place = np.flatnonzero(n)
+        yield np.stack([place, np.full(len(place), k), n[place]], axis=1).astype(np.float64)
+
+
+def _expected_pass(log: np.ndarray | None, votes: dict[int, np.ndarray], n_terms: int, n_subjects: int, agree: bool) -> Pass:
+    """``(term, how often it speaks for each subject, and for none)``; with agree how much the other passages are about each subject.
+
+    A passage is about one subject of its document, or about none. Without log only labelled documents count, by their labels.
+    """
+
+    def run(batches: Iterator[Passages]) -> Iterator[np.ndarray]:
+        seen = np.zeros((n_terms, n_subjects + 1 + n_subjects * agree), np.float64)
+        for batch in batches:
+            prior = np.zeros((len(batch.ids), n_subjects), np.float32)
+            for k, key in enumerate(batch.ids.tolist()):
+                if key in votes:
+                    prior[k] = votes[key]
+            if log is None:
+                rated = prior.sum(axis=1) > 0
+                batch = _chosen(batch, np.where(np.repeat(rated[batch.owner], batch.sizes), batch.terms, -1))
+            row, own = batch.terms, batch.owner
+            if not len(row):
+                continue
+            start = np.cumsum(batch.sizes) - batch.sizes
+            if log is None:
+                about, others = np.hstack([0.7 * prior[own], np.full((len(own), 1), 0.3)]), prior[own]
+            else:
+                score = np.add.reduceat(log[row], start, axis=0)
+                odds = np.full((len(batch.ids), n_subjects + 1), 0.7 / n_subjects, np.float32)
+                odds[:, -1] = 0.3
+                odds[:, :-1] += prior
+                mixture = odds[own]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                for _ in range(STEPS):
+                    about = score + np.log(_rows(mixture))
+                    about = np.exp(about - about.max(axis=1, keepdims=True))
+                    about /= about.sum(axis=1, keepdims=True)
+                    whole = np.zeros((len(batch.ids), n_subjects + 1), np.float32)
+                    whole[own[first]] = np.add.reduceat(about, first, axis=0)
+                    whole[:, :-1] += 2.0 * prior
+                    mixture = np.maximum(whole[own] - about, 0) + 0.02  # what the other passages are about
+                others = _rows(np.maximum(whole[own] - about, 0)[:, :-1] + 0.05)
+            spread = np.hstack([about, others] if agree else [about])
+            for k in range(spread.shape[1]):
+                seen[:, k] += np.bincount(row, weights=np.repeat(spread[:, k], batch.sizes), minlength=n_terms)
+        some = np.flatnonzero(seen[:, : n_subjects + 1].sum(axis=1) > 0)
+        if len(some):
+            yield np.hstack([some[:, None], seen[some]])
+
+    return run
+
+
+def _vectors(batch: Passages, strong: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(document, row, value)`` of the documents' unit vectors: a discriminative term's weight by the logarithm of its passages."""
+    batch = _chosen(batch, strong[batch.terms])
+    key = np.sort(np.repeat(batch.owner, batch.sizes) * max(len(weights), 1) + batch.terms)
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(start, len(key)))
+    document, row = key[start] // max(len(weights), 1), key[start] % max(len(weights), 1)
+    value = (1 + np.log(n)) * weights[row]
+    norm = np.sqrt(np.bincount(document, weights=value**2, minlength=len(batch.ids)))
+    return document, row, value / np.maximum(norm[document], 1e-9)
+
+
+def _pivot_pass(strong: np.ndarray, weights: np.ndarray) -> Pass:
+    """``(rank, id, row, value)`` of the CELLS documents of the least hash, of those that have terms. A task gives no more than that many."""
+
+    def run(batches: Iterator[Passages]) -> Iterator[np.ndarray]:
+        kept = np.zeros((0, 4))
+        for batch in batches:
+            document, row, value = _vectors(batch, strong, weights)
+            rank = (batch.ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(12)).astype(np.float64)
+            kept = _least(np.vstack([kept, np.stack([rank[document], batch.ids[document].astype(np.float64), row, value], axis=1)]))
+        if len(kept):
+            yield kept
+
+    return run
+
+
+def _least(rows: np.ndarray) -> np.ndarray:
+    ranks = np.unique(rows[:, 0])
+    return rows[rows[:, 0] <= ranks[CELLS - 1]] if len(ranks) > CELLS else rows
+
+
+def _cell_pass(strong: np.ndarray, weights: np.ndarray, pivots: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Pass:
+    """``(cell, row, sum)``: every document's vector is added to the cell of the pivot it is nearest to; at row -1 the documents are counted."""
+    cell, at, value_of = pivots
+    order = np.argsort(at, kind="stable")
+    cell, value_of = cell[order], value_of[order]
+    bounds = np.searchsorted(at[order], np.arange(len(weights) + 1))
+    n_cells, width = int(cell.max()) + 1 if len(cell) else 1, len(weights) + 1
+
+    def run(batches: Iterator[Passages]) -> Iterator[np.ndarray]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            document, row, value = _vectors(batch, strong, weights)
+            for first in range(0, len(batch.ids), 500):
+                some = slice(*np.searchsorted(document, [first, first + 500]))
+                d, r, v = document[some] - first, row[some], value[some]
+                if not len(d):
+                    continue
+                n = bounds[r + 1] - bounds[r]
+                where = np.repeat(bounds[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                near = np.bincount(np.repeat(d, n) * n_cells + cell[where], weights=np.repeat(v, n) * value_of[where], minlength=500 * n_cells).reshape(500, n_cells)
+                best, some = near.argmax(axis=1), np.unique(d)
+                held.append((np.concatenate([best[d] * width + r + 1, best[some] * width]), np.concatenate([v, np.ones(len(some))])))
+            if len(held) > 40:
+                held = [_added(held)]
+        if held:
+            key, value = _added(held)
+            yield np.stack([key // width, key % width - 1, value], axis=1)
+
+    return run
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, value = np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[start], np.add.reduceat(value, start)
+
+
+def _split(x: np.ndarray, mass: np.ndarray, least: float, rng: np.random.Generator) -> np.ndarray | None:
+    """Two clusters of unit vectors by spherical k-means, each of the least mass; None if they can't be parted so."""
     best, kept = -np.inf, None
     for _ in range(RESTARTS):
-        a = x[rng.integers(len(x))]
-        b = x[int((x @ a).argmin())]
+        a = x[rng.choice(len(x), p=mass / mass.sum())]
+        far = mass * np.maximum(1 - x @ a, 0) ** 2  # the second seed is likely to be far from the first
+        if far.sum() <= 0:
+            continue
+        b = x[rng.choice(len(x), p=far / far.sum())]
         side = None
         for _ in range(SPLIT_ROUNDS):
             now = x @ b > x @ a
@@ -111,230 +376,272 @@ def _split(x: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
             side = now
             if not 0 < side.sum() < len(x):
                 break
-            a, b = x[~side].sum(axis=0), x[side].sum(axis=0)
+            a, b = mass[~side] @ x[~side], mass[side] @ x[side]
             a, b = a / max(np.linalg.norm(a), 1e-9), b / max(np.linalg.norm(b), 1e-9)
-        if side is not None and 0 < side.sum() < len(x):
-            score = float((x[side] @ b).sum() + (x[~side] @ a).sum())
+        if side is not None and 0 < side.sum() < len(x) and min(mass[side].sum(), mass[~side].sum()) >= least:
+            score = float(mass[side] @ (x[side] @ b) + mass[~side] @ (x[~side] @ a))
             if score > best:
                 best, kept = score, side
     return kept
 
 
-def bisect(x: np.ndarray, leaves: int = LEAVES, least: int = LEAST_LEAF) -> np.ndarray:
-    """Leaf number of each row: the leaf of the most scatter is split again and again, as far as its parts are large enough."""
+def bisect(x: np.ndarray, mass: np.ndarray, leaves: int, least: float = LEAST_LEAF) -> np.ndarray:
+    """Leaf number of each row: the leaf of the most scatter is split again and again, as far as its parts have the least share of the mass."""
     rng = np.random.default_rng(SEED)
     label = np.zeros(len(x), np.int32)
-    scatter = {0: len(x) - float(np.linalg.norm(x.sum(axis=0)))} if len(x) else {}
+    spread = lambda rows: float(mass[rows].sum() - np.linalg.norm(mass[rows] @ x[rows]))
+    scatter = {0: spread(slice(None))} if len(x) else {}
     count = 1
     while scatter and count < leaves:
         leaf = max(scatter, key=lambda k: (scatter[k], -k))
         rows = np.flatnonzero(label == leaf)
-        side = _split(x[rows], rng) if len(rows) >= 2 * least else None
-        if side is None or min(side.sum(), (~side).sum()) < least:
+        side = _split(x[rows], mass[rows], least * mass.sum(), rng) if len(rows) >= 2 else None
+        if side is None:
             del scatter[leaf]
             continue
         label[rows[side]] = count
-        for k in (leaf, count):
-            part = x[label == k]
-            scatter[k] = len(part) - float(np.linalg.norm(part.sum(axis=0)))
+        scatter[leaf], scatter[count] = spread(label == leaf), spread(label == count)
         count += 1
     return label
 
 
-def _by_language(documents: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
-    """The documents of each language, most first; topics are told apart within a language, or they would be languages."""
-    model = language.fit_model([])
-    groups: dict[str, list[tuple[int, str]]] = {}
-    for at in range(0, len(documents), 1000):
-        some = documents[at : at + 1000]
-        for document, segments in zip(some, language.analyse(model, [t for _, t in some]), strict=True):
-            size: Counter = Counter()
-            for start, end, name, _, _ in segments:
-                size[name] += end - start
-            if size:
-                groups.setdefault(size.most_common(1)[0][0], []).append(document)
-    return sorted(groups.values(), key=lambda g: -len(g))
+def _rows(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(m.sum(axis=1, keepdims=True), 1e-9)
 
 
-def fit_model(documents: list[tuple[int, str]], labels: list[tuple[int, str]], subjects: list[str]) -> SubjectModel:
-    """A model from ``(doc_id, text)`` and ``(doc_id, subject)`` rows; raters may err and labels may be incomplete."""
-    subjects = sorted(subjects)
-    documents = sorted({i: t for i, t in documents if t}.items())
-    rated: dict[int, list[str]] = {}
-    for i, s in labels:
-        if s in subjects:
-            rated.setdefault(i, []).append(s)
-    seen: dict[str, np.ndarray] = {}
-    frequency: Counter = Counter()
-    told: list[tuple[str, int, list[str]]] = []
-    for group in _by_language(documents) if subjects else []:
-        _fit_group(group, rated, subjects, seen, frequency, told)
-    terms, weights, shares = [], [], []
-    for t in sorted(seen):
-        share = seen[t][:-1] + seen[t][-1] / len(subjects) + 1.0 / len(subjects)
-        share = share / share.sum()
-        if (top := float(share.max())) >= TERM_SHARE:
-            terms.append(t)
-            shares.append(share)
-            weights.append(np.log(len(documents) / frequency[t]) * (top - TERM_SHARE) / (1 - TERM_SHARE))
-    return SubjectModel(
-        subjects, {t: k for k, t in enumerate(terms)}, np.array(weights, np.float32), np.array(shares, np.float32).reshape(len(terms), len(subjects)), told
-    )
+class Corpus:
+    """Documents that passes can be summed over; here they are in memory. ``narrow`` leaves only the terms of an index, as its rows."""
 
+    def __init__(self, batches: list[Passages], sizes: dict[str, int]):
+        self.batches, self.sizes = batches, sizes
 
-def _fit_group(documents, rated, subjects: list[str], seen: dict, frequency: Counter, told: list) -> None:
-    """Adds to ``seen`` how often each term stands for each subject, and for none, in the documents of one language."""
-    counted = [Counter(t for terms in passages(text) for t in terms) for _, text in documents]
-    here = Counter(t for c in counted for t in c)
-    least = LEAST_DOCS if len(documents) >= 200 else 2
-    kept = [t for t, n in here.items() if least <= n <= max(least, MOST_SHARE * len(documents))]
-    kept = sorted(sorted(kept, key=lambda t: (-here[t], t))[:TERMS])
-    index = {t: k for k, t in enumerate(kept)}
-    idf = np.log((len(documents) + 1) / np.array([here[t] for t in kept], float)).astype(np.float32)
-    x = np.zeros((len(documents), len(kept)), np.float32)
-    for row, c in enumerate(counted):
-        for t, n in c.items():
-            if (k := index.get(t)) is not None:
-                x[row, k] = (1 + np.log(n)) * idf[k]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    leaf = bisect(x)
-    votes = np.zeros((len(documents), len(subjects)), np.float32)
-    number = {s: k for k, s in enumerate(subjects)}
-    for row, (i, _) in enumerate(documents):
-        for s in rated.get(i, ()):
-            votes[row, number[s]] += 1
-    if not votes.sum() and not seen:
-        return
-    members = np.zeros((int(leaf.max()) + 1, len(documents)), np.float32)
-    members[leaf, np.arange(len(documents))] = 1
-    overall = votes.sum(axis=0) + 1
-    share_of_leaf = _rows(members @ votes + 2 * overall / overall.sum())
-    document = _blend(share_of_leaf[leaf], votes)
-    if seen:  # terms that another language shares
-        pull = np.zeros_like(votes)
-        for row, c in enumerate(counted):
-            for t in c:
-                if (known := seen.get(t)) is not None and known[:-1].max() >= 0.6 * known.sum():
-                    pull[row] += known[:-1] / known.sum()
-        document = np.where(pull.sum(axis=1, keepdims=True) > 0, 0.4 * document + 0.6 * _rows(pull), document).astype(np.float32)
-    names, counts, document = _refined(documents, here, least, document)
-    for t, c in zip(names, counts, strict=True):
-        seen[t] = seen[t] + c if t in seen else c
-    frequency.update(here)
-    share_of_leaf = _rows(members @ document)
-    strong = np.array([float((c := seen[t])[:-1].max() >= TERM_SHARE * c.sum()) for t in kept])
-    for k in range(len(members)):
-        lift = x[leaf == k].mean(axis=0) * strong
-        told.append((subjects[int(share_of_leaf[k].argmax())], int((leaf == k).sum()), [kept[j] for j in np.argsort(-lift)[:6]]))
+    def sum_of(self, run: Pass, width: int, keys: int) -> np.ndarray:
+        """The rows of a pass, summed for the first ``keys`` of the ``width`` columns."""
+        found = list(run(iter(self.batches)))
+        rows = np.vstack(found) if found else np.zeros((0, width))
+        key, at = np.unique(rows[:, :keys], axis=0, return_inverse=True)
+        out = np.zeros((len(key), width - keys))
+        np.add.at(out, at.ravel(), rows[:, keys:])
+        return np.hstack([key, out])
 
+    def narrow(self, index: np.ndarray, langs: list[str]) -> Corpus:
+        return Corpus([known_rows(b, index, langs) for b in self.batches], self.sizes)
 
-def _rows(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(m.sum(axis=1, keepdims=True), 1e-9)
 
+_STORED = "id bigint, lang string, terms array<int>, sizes array<int>"
 
-def _refined(documents, frequency, least: int, document: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Terms, how often they stand for each subject and for none, and the documents' mixtures, from the mixtures of the leaves.
 
-    Expectation maximisation over passages: a passage is about one subject of its document's mixture, or about none;
-    its terms are drawn from what it is about.
+def _stored(batch: Passages) -> pa.RecordBatch:
+    """A row for each document."""
+    passages = np.bincount(batch.owner, minlength=len(batch.ids))
+    terms = np.bincount(batch.owner, weights=batch.sizes, minlength=len(batch.ids)).astype(np.int64)
+    ends = lambda n: pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(batch.ids), pa.array(batch.langs, pa.string()), pa.ListArray.from_arrays(ends(terms), pa.array(batch.terms.astype(np.int32))),
+         pa.ListArray.from_arrays(ends(passages), pa.array(batch.sizes.astype(np.int32)))],
+        names=["id", "lang", "terms", "sizes"],
+    )
+
+
+def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[Passages]:
+    for batch in batches:
+        if batch.num_rows:
+            terms, sizes = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
+            passages = np.diff(batch.column(3).offsets.to_numpy())
+            yield Passages(batch.column(0).to_numpy(), batch.column(1).to_pylist(), terms, sizes.astype(np.int64), np.repeat(np.arange(batch.num_rows), passages))
+
+
+class SharedCorpus(Corpus):
+    """The same over a table; tasks add up what they see, and what they give is added up before it comes to the driver."""
+
+    def __init__(self, table: DataFrame, sizes: dict[str, int]):
+        self.table, self.sizes = table, sizes
+
+    def sum_of(self, run: Pass, width: int, keys: int) -> np.ndarray:
+        names = [f"c{k}" for k in range(width)]
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in run(_loaded(batches)):  # what it holds is sent once, by Spark's broadcast of large functions
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k], np.float64)) for k in range(width)], names=names)
+
+        told = self.table.mapInArrow(task, ", ".join(f"{n} double" for n in names))
+        if keys < width:
+            told = told.groupBy(*names[:keys]).agg(*[F.sum(n).alias(n) for n in names[keys:]])
+        found = told.toArrow()
+        return np.stack([c.to_numpy() for c in found.columns], axis=1) if found.num_rows else np.zeros((0, width))
+
+    def narrow(self, index: np.ndarray, langs: list[str]) -> Corpus:
+        shared = self.table.sparkSession.sparkContext.broadcast(index)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _loaded(batches):
+                yield _stored(known_rows(batch, shared.value, langs))
+
+        return SharedCorpus(written(self.table.mapInArrow(task, _STORED)), self.sizes)
+
+
+def _fit(corpus: Corpus, labels: list[tuple[int, str]], subjects: list[str]) -> tuple[SubjectModel, Corpus, np.ndarray]:
+    """The model, the documents as the rows of its first index, and of each such row the model's own, or a negative number.
+
+    Labels may err and be incomplete.
     """
-    n_subjects = document.shape[1]
-    most = max(least, MOST_SHARE * len(documents))
-    kept = sorted(t for t, n in frequency.items() if max(2, least - 1) <= n <= most)
-    index = {t: k for k, t in enumerate(kept)}
-    flat: list[int] = []
-    starts: list[int] = []
-    owner: list[int] = []
-    for row, (_, text) in enumerate(documents):
-        for some in passages(text):
-            known = sorted({index[t] for t in some if t in index})
-            if known:
-                starts.append(len(flat))
-                owner.append(row)
-                flat += known
-    if not flat:
-        return kept, np.zeros((len(kept), n_subjects + 1), np.float32), document
-    term, start, own = np.array(flat), np.array(starts), np.array(owner)
-    size = np.diff(np.append(start, len(flat)))
-    passage = np.repeat(np.arange(len(start)), size)
-    prior = document
-    about = np.hstack([0.7 * prior[own], np.full((len(own), 1), 0.3)]).astype(np.float32)
-    base = np.bincount(term, minlength=len(kept)).astype(np.float32)
-    base /= base.sum()
-    chance = np.zeros((len(kept), n_subjects + 1), np.float32)
-    for _ in range(ROUNDS):
-        for k in range(n_subjects + 1):
-            chance[:, k] = np.bincount(term, weights=about[passage, k], minlength=len(kept))
-        chance = (chance + SMOOTH * base[:, None]) / (chance.sum(axis=0) + SMOOTH)
-        log = np.log(np.maximum(chance, 1e-12))
-        score = np.add.reduceat(log[term], start, axis=0)
-        mixture = np.zeros((len(documents), n_subjects + 1), np.float32)
-        np.add.at(mixture, own, about)
-        mixture[:, :-1] += 2.0 * prior
-        score += np.log(_rows(np.maximum(mixture[own] - about, 0) + 0.02))  # what the other passages are about
-        score -= score.max(axis=1, keepdims=True)
-        about = np.exp(score)
-        about /= about.sum(axis=1, keepdims=True)
-    seen = np.zeros((len(kept), n_subjects + 1), np.float32)
-    for k in range(n_subjects + 1):
-        seen[:, k] = np.bincount(term, weights=about[passage, k], minlength=len(kept))
-    mixture = np.zeros((len(documents), n_subjects), np.float32)
-    np.add.at(mixture, own, about[:, :-1])
-    others = _rows(np.maximum(mixture[own] - about[:, :-1], 0) + 0.5 * prior[own])
-    agree = np.zeros((len(kept), n_subjects), np.float32)
-    for k in range(n_subjects):
-        agree[:, k] = np.bincount(term, weights=others[passage, k], minlength=len(kept))
-    agree = _rows(agree)[np.arange(len(kept)), seen[:, :-1].argmax(axis=1)]
+    subjects = sorted(set(subjects))
+    langs = sorted(name for name in corpus.sizes if name) or [""]
+    model = SubjectModel(subjects, langs)
+    number = {s: k for k, s in enumerate(subjects)}
+    rated: dict[int, list[int]] = {}
+    for i, s in labels:
+        if s in number:
+            rated.setdefault(i, []).append(number[s])
+    nothing = model, corpus.narrow(model.index, langs), np.zeros(0, np.int32)
+    if not rated:
+        return nothing
+    votes = {i: np.bincount(v, minlength=len(subjects)).astype(np.float32) / len(v) for i, v in rated.items()}
+    counted = corpus.sum_of(_frequency_pass(langs), 3, 2)
+    place, lang, passages = counted[:, 0].astype(np.int64), counted[:, 1].astype(np.int64), counted[:, 2]
+    documents = np.array([corpus.sizes.get(name, 0) for name in langs], float)
+    kept = (passages >= LEAST_PASSAGES) & (passages <= np.maximum(MOST_SHARE * documents[lang], LEAST_PASSAGES))
+    kept &= (np.bincount(place[kept], minlength=PLACES) == 1)[place]  # a place that two languages fell on speaks for neither
+    order = np.argsort(place[kept])
+    place, lang, passages = place[kept][order], lang[kept][order], passages[kept][order]
+    if not len(place):
+        return nothing
+    index = np.full(PLACES, ABSENT, np.int32)
+    index[place] = np.arange(len(place))
+    corpus = corpus.narrow(index, langs)
+    width = len(subjects) + 1
+    base = passages / np.bincount(lang, weights=passages, minlength=len(langs))[lang]
+    log = None
+    for k in range(ROUNDS):
+        last = k == ROUNDS - 1
+        told = corpus.sum_of(_expected_pass(log, votes, len(place), len(subjects), last), 1 + width + last * (width - 1), 1)
+        seen = np.zeros((len(place), told.shape[1] - 1))
+        seen[told[:, 0].astype(np.int64)] = told[:, 1:]
+        chance = seen[:, :width] + SMOOTH * base[:, None]
+        whole = np.stack([np.bincount(lang, weights=chance[:, c], minlength=len(langs)) for c in range(width)], axis=1)
+        log = np.log(np.maximum(chance / np.maximum(whole[lang], 1e-9), 1e-12)).astype(np.float32)
+    agree = _rows(seen[:, width:])[np.arange(len(place)), seen[:, : width - 1].argmax(axis=1)]
+    seen = seen[:, :width]
     stray = agree < AGREEMENT  # a set phrase: the passages around it are about anything
     seen[stray, -1] += seen[stray, :-1].sum(axis=1)
     seen[stray, :-1] = 0
-    seen[:, :-1] *= about[:, :-1].sum() / n_subjects / np.maximum(about[:, :-1].sum(axis=0), 1.0)  # subjects of equal size
-    return kept, seen, _rows(mixture + prior)
+    size = np.stack([np.bincount(lang, weights=seen[:, c], minlength=len(langs)) for c in range(width - 1)], axis=1)
+    seen[:, :-1] *= (size.sum(axis=1, keepdims=True) / len(subjects) / np.maximum(size, 1.0))[lang]  # subjects of equal size
+    share = _rows(seen[:, :-1] + (seen[:, -1:] + 1.0) / len(subjects))
+    top = share.max(axis=1)
+    chosen = np.flatnonzero(top >= TERM_SHARE)
+    strong = np.full(len(place), WEAK, np.int32)
+    strong[chosen] = np.arange(len(chosen))
+    model.index = index
+    model.index[place] = strong
+    model.weights = (np.log(np.maximum(documents[lang], passages) / passages + 1) * (top - TERM_SHARE) / (1 - TERM_SHARE))[chosen].astype(np.float32)
+    if len(chosen):
+        _cluster(model, corpus, strong, share[chosen])
+    return model, corpus, strong
+
+
+def _cluster(model: SubjectModel, corpus: Corpus, strong: np.ndarray, share: np.ndarray) -> None:
+    """Gathers the documents in cells, clusters the cells, and labels the leaves by the terms that stand out in them."""
+    chosen = _least(corpus.sum_of(_pivot_pass(strong, model.weights), 4, 4))
+    if not len(chosen):
+        return
+    cell = np.unique(chosen[:, 0], return_inverse=True)[1]
+    told = corpus.sum_of(_cell_pass(strong, model.weights, (cell, chosen[:, 2].astype(np.int64), chosen[:, 3])), 3, 2)
+    of, row, value = told[:, 0].astype(np.int64), told[:, 1].astype(np.int64), told[:, 2]
+    n_cells, n_terms = int(cell.max()) + 1, len(model.weights)
+    mass = np.zeros(n_cells)
+    mass[of[row < 0]] = value[row < 0]
+    of, row, value = of[row >= 0], row[row >= 0], value[row >= 0]
+    x = np.zeros((n_cells, min(CELL_PLACES, n_terms)), np.float32)
+    np.add.at(x, (of, row % x.shape[1]), value)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    leaf = np.zeros(n_cells, np.int64)
+    leaf[mass > 0] = bisect(x[mass > 0], mass[mass > 0].astype(np.float32), LEAVES)
+    leaves = int(leaf.max()) + 1
+    centre = np.bincount(row * leaves + leaf[of], weights=value, minlength=n_terms * leaves).reshape(n_terms, leaves)
+    centre /= np.maximum(np.linalg.norm(centre, axis=0), 1e-9)
+    model.leaves = (centre * model.weights[:, None]).astype(np.float32)
+    # What stands out in a leaf: terms that weigh more in it than in all documents.
+    usual = np.bincount(row, weights=value, minlength=n_terms)
+    lift = np.maximum(centre - (usual / max(np.linalg.norm(usual), 1e-9))[:, None], 0)
+    model.labels = _rows(_rows((lift**2).T @ share) ** 2).astype(np.float32)
 
 
-def _blend(shares: np.ndarray, votes: np.ndarray) -> np.ndarray:
-    """A document's own labels weigh as much as its leaf."""
-    own = votes.sum(axis=1, keepdims=True)
-    return np.where(own > 0, 0.6 * shares + 0.4 * votes / np.maximum(own, 1), shares).astype(np.float32)
+def fit_model(documents: list[tuple[int, str]], labels: list[tuple[int, str]], subjects: list[str]) -> SubjectModel:
+    """A model from ``(doc_id, text)`` and ``(doc_id, subject)`` rows in memory, all of one language."""
+    documents = sorted({i: t for i, t in documents if t}.items())
+    batch = encoded([i for i, _ in documents], [""] * len(documents), [t for _, t in documents])
+    return _fit(Corpus([batch], {"": len(documents)}), labels, subjects)[0]
 
 
-def fit_on(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> SubjectModel:
-    """``fit_model`` on a bounded sample: LABEL_ROWS label rows with their documents and OTHER_ROWS documents more."""
+def _lang(df: DataFrame) -> F.Column:
+    """The stated language of a document, in small letters; empty where there is none."""
+    return F.lower(F.trim(F.coalesce(F.col("lang").cast("string"), F.lit("")))) if "lang" in df.columns else F.lit("")
+
+
+def _terms_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Documents as hashed terms. Null texts and rows without an id are left out."""
+    ship_package(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                yield _stored(encoded(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist()))
+
+    chosen = df.select(F.col(id_col).cast("bigint").alias("id"), _lang(df).alias("lang"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    return chosen.mapInArrow(task, _STORED)
+
+
+def _fit_on(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[SubjectModel, Corpus, np.ndarray]:
+    """``_fit`` on all documents (``doc_id, text``, and ``lang`` if there is one) and at most LABEL_ROWS label rows."""
     names = [r.subject for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect()]
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     chosen = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "subject")
         .where("doc_id IS NOT NULL AND subject IS NOT NULL")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "subject")
         .limit(LABEL_ROWS)
     )
-    label_rows = [(r.doc_id, r.subject) for r in chosen.collect()]
-    wanted = documents.sparkSession.createDataFrame([(i,) for i in sorted({i for i, _ in label_rows})] or [(-1,)], "doc_id bigint")
-    labelled = texts.join(F.broadcast(wanted), "doc_id", "left_semi").collect()
-    others = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(OTHER_ROWS).collect()
-    return fit_model([(r.doc_id, r.text) for r in [*labelled, *others]], label_rows, names)
+    terms = written(_terms_of(documents, "doc_id", "text"))
+    sizes = {r.lang: r.n for r in terms.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    return _fit(SharedCorpus(terms, sizes), [(r.doc_id, r.subject) for r in chosen.collect()], names)
+
+
+def fit_on(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> SubjectModel:
+    """The model of all documents, from label rows ``doc_id, subject`` and the subjects allowed."""
+    return _fit_on(documents, labels, subjects)[0]
+
+
+def _told(model: SubjectModel, table: DataFrame, strong: np.ndarray | None) -> DataFrame:
+    """``id, subject, share`` of a table of hashed terms, or, with strong, of rows of the first index."""
+    shared = table.sparkSession.sparkContext.broadcast((model, strong))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = shared.value
+        for batch in _loaded(batches):
+            batch = known_rows(batch, own.index, own.langs) if rows is None else _chosen(batch, rows[batch.terms])
+            found = own.found(batch)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(batch.ids[d]) for d, _, _ in found], pa.int64()), pa.array([own.subjects[s] for _, s, _ in found], pa.string()), pa.array([n for _, _, n in found], pa.float64())],
+                names=["id", "subject", "share"],
+            )
+
+    return table.mapInArrow(task, "id bigint, subject string, share double")
 
 
 def subject_table(df: DataFrame, model: SubjectModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, subject, share``: each subject of each document and its share of the document's passages.
 
-    Null, empty and blank texts, and those about none of the subjects, give no row.
+    Null, empty and blank texts, and those about none of the subjects, give no row; so do rows without an id. A row that is
+    there twice is told twice. A column ``lang`` is read if there is one, other columns are ignored.
     """
-    ship_package(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for frame in frames:
-            rows = [
-                (key, s, share)
-                for key, text in zip(frame["id"], frame["text"], strict=True)
-                for s, share in own.document_subjects(text if isinstance(text, str) else None)
-            ]
-            yield pd.DataFrame(rows, columns=["id", "subject", "share"]).astype({"share": "float64"})
-
-    chosen = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    return chosen.mapInPandas(run, "id bigint, subject string, share double")
+    return _told(model, _terms_of(df, id_col, text_col), None)
+
+
+def fitted_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
+    """``subject_table`` of the documents that the model is fitted on, whose texts are read once."""
+    model, corpus, strong = _fit_on(documents, labels, subjects)
+    return _told(model, corpus.table, strong)
 
 
 def composition(found: DataFrame) -> DataFrame:

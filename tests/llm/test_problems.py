@@ -740,6 +740,34 @@ def test_subjects(spark):
     assert subjects.subject_table(frame, empty).count() == 0
 
 
+def test_subjects_come_from_the_leaves(monkeypatch):
+    documents, labels, truth = planted()
+    model = subjects.fit_model(documents, labels, list(TOPICS))
+    assert model.leaves.shape[1] > 3 and {model.subjects[k] for k in model.labels.argmax(axis=1)} == set(TOPICS)
+    monkeypatch.setattr(subjects, "LEAVES", 1)
+    alone = subjects.fit_model(documents, labels, list(TOPICS))
+    found = sum(len({s for s, _ in alone.document_subjects(t)} & truth[i]) for i, t in documents)
+    assert alone.leaves.shape[1] == 1 and found < 0.5 * sum(map(len, truth.values()))
+
+
+def test_subjects_of_a_table_in_languages(spark):
+    documents, labels, truth = planted()
+    turned = [(1000 + i, " ".join(w[::-1] if w.isalpha() else w for w in t.split(" "))) for i, t in documents]
+    rows = [(i, t, None if i % 19 == 0 else " EN" if i < 1000 else "xx", "a") for i, t in documents + turned] + [(3000, None, "en", "a"), (3001, " ", None, "a"), (None, documents[0][1], "en", "a"), (3002, documents[0][1], "zz", "a")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, terms string").withColumn("sizes", F.lit(1)).repartition(3)
+    told = spark.createDataFrame([(i, s, 1) for i, s in labels] + [(1000 + i, s, 1) for i, s in labels] + [(None, "law", 1), (1, None, 1), (2, "magic", 1)], "doc_id bigint, subject string, rater_id bigint")
+    names = spark.createDataFrame([(s, "d") for s in TOPICS] + [(None, "d")], "subject string, description string")
+    found: dict = {}
+    for r in subjects.fitted_subjects(frame, told, names).collect():
+        found.setdefault(r.id, set()).add(r.subject)
+    expected = truth | {1000 + i: s for i, s in truth.items()}
+    hits = sum(len(found.get(i, set()) & s) for i, s in expected.items())
+    assert hits >= 0.95 * sum(map(len, expected.values())) and hits >= 0.95 * sum(len(s) for i, s in found.items() if i in expected)
+    assert not {None, 3000, 3001} & set(found)
+    assert subjects.fitted_subjects(frame.where("doc_id < 0"), told, names).count() == 0
+    assert subjects.fitted_subjects(frame, told.where("doc_id < 0"), names).count() == 0
+
+
 def test_names_of_queries():
     assert {f"p{n}_" for n in range(1, 11)} == {re.match(r"p\d+_", q)[0] for q in queries.queries()}
 
