@@ -30,7 +30,7 @@ ABSENT, WEAK = -1, -2
 #: Terms in fewer passages than this, or in as many as this share of a language's documents or more, speak for nothing.
 LEAST_PASSAGES, MOST_SHARE = 3, 0.2
 #: Rounds of the expectation maximisation, steps within a document in each, and the weight of all passages' terms in those of a subject.
-ROUNDS, STEPS, SMOOTH = 6, 3, 20.0
+ROUNDS, STEPS, SMOOTH = 5, 3, 20.0
 #: A term of a subject occurs where the other passages of its documents are about the subject at least to this share.
 AGREEMENT = 0.45
 #: A term is discriminative from this share of a subject, and a passage is about a subject from this share of its leaves and this weight of terms.
@@ -416,9 +416,11 @@ class Corpus:
         self.batches, self.sizes = batches, sizes
 
     def sum_of(self, run: Pass, width: int, keys: int) -> np.ndarray:
-        """The rows of a pass, summed for the first ``keys`` of the ``width`` columns."""
+        """The rows of a pass, summed for the first ``keys`` of the ``width`` columns, which are whole numbers; without keys as they are."""
         found = list(run(iter(self.batches)))
         rows = np.vstack(found) if found else np.zeros((0, width))
+        if not keys:
+            return rows
         key, at = np.unique(rows[:, :keys], axis=0, return_inverse=True)
         out = np.zeros((len(key), width - keys))
         np.add.at(out, at.ravel(), rows[:, keys:])
@@ -462,10 +464,11 @@ class SharedCorpus(Corpus):
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in run(_loaded(batches)):  # what it holds is sent once, by Spark's broadcast of large functions
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k], np.float64)) for k in range(width)], names=names)
+                kinds = [np.int64] * keys + [np.float32 if keys else np.float64] * (width - keys)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k].astype(kind)) for k, kind in enumerate(kinds)], names=names)
 
-        told = self.table.mapInArrow(task, ", ".join(f"{n} double" for n in names))
-        if keys < width:
+        told = self.table.mapInArrow(task, ", ".join(f"{n} {'bigint' if k < keys else 'float' if keys else 'double'}" for k, n in enumerate(names)))
+        if keys:
             told = told.groupBy(*names[:keys]).agg(*[F.sum(n).alias(n) for n in names[keys:]])
         found = told.toArrow()
         return np.stack([c.to_numpy() for c in found.columns], axis=1) if found.num_rows else np.zeros((0, width))
@@ -542,7 +545,7 @@ def _fit(corpus: Corpus, labels: list[tuple[int, str]], subjects: list[str]) ->
 
 def _cluster(model: SubjectModel, corpus: Corpus, strong: np.ndarray, share: np.ndarray) -> None:
     """Gathers the documents in cells, clusters the cells, and labels the leaves by the terms that stand out in them."""
-    chosen = _least(corpus.sum_of(_pivot_pass(strong, model.weights), 4, 4))
+    chosen = _least(corpus.sum_of(_pivot_pass(strong, model.weights), 4, 0))
     if not len(chosen):
         return
     cell = np.unique(chosen[:, 0], return_inverse=True)[1]
