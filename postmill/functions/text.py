@@ -15,7 +15,7 @@ from textwrap import wrap
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 # Fixed values of the text rules.
 INVISIBLE = "​‌‍⁠﻿­"
@@ -47,23 +47,27 @@ SENTENCE_END = f"(?<=[.!?]){WS}+"
 CLAUSE_END = f"(?<=[,:;]){WS}+"
 
 
+def _markers(text: str) -> int:
+    return sum(map(text.count, MOJIBAKE_MARKERS))
+
+
+def _reread(text: str) -> str | None:
+    """A text whose characters, written as cp1252, are read as UTF-8; None where that can't be, or leaves as many markers."""
+    try:
+        better = text.encode("cp1252").decode("utf-8")
+    except UnicodeError:
+        return None
+    return better if _markers(better) < _markers(text) else None
+
+
 def _repaired(text: str) -> str:
     """UTF-8 once read as cp1252 is undone, at most twice, as a whole, and only while markers of it become fewer."""
-    for _ in range(2):
-        markers = sum(map(text.count, MOJIBAKE_MARKERS))
-        if not markers:
-            return text
-        try:
-            attempt = text.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            return text
-        if sum(map(attempt.count, MOJIBAKE_MARKERS)) >= markers:
-            return text
-        text = attempt
-    return text
+    once = _reread(text) if _markers(text) else None
+    twice = _reread(once) if once is not None and _markers(once) else None
+    return next(t for t in (twice, once, text) if t is not None)
 
 
-_GONE = str.maketrans(dict.fromkeys(INVISIBLE))
+_GONE = re.compile(f"[{INVISIBLE}]")
 
 
 def canonical_text(text: str | None) -> str:
@@ -72,8 +76,8 @@ def canonical_text(text: str | None) -> str:
         return ""
     if text.isascii() and "&" not in text and "\r" not in text:
         return text
-    text = html.unescape(text).replace("\r\n", "\n").replace("\r", "\n").replace("\xa0", " ").translate(_GONE)
-    return unicodedata.normalize("NFKC", _repaired(text)).translate(_GONE)
+    text = html.unescape(text).replace("\r\n", "\n").replace("\r", "\n").replace("\xa0", " ")
+    return _GONE.sub("", unicodedata.normalize("NFKC", _repaired(_GONE.sub("", text))))
 
 
 @F.pandas_udf(StringType())
@@ -121,138 +125,154 @@ def has_alnum(text: Column) -> Column:
     return text.rlike(r"[\p{L}\p{N}]")
 
 
-def symbol_only(text: Column) -> Column:
-    return (inline(text) != "") & ~has_alnum(text)
+def normalized_text(text: str, lines: bool = True) -> str:
+    """``normalize_lines`` of a canonical text; without lines all white space becomes single blanks."""
+    text = re.sub(r"[ \t]+\n", "\n", text)
+    text = re.sub(r"[ \t]{2,}", " ", re.sub(r"\n[ \t]+", "\n", text))
+    return (re.sub(r"\n{3,}", "\n\n", text) if lines else re.sub(r"\s+", " ", text)).strip()
 
 
-def is_cta(text: Column) -> Column:
-    return comparison(text).rlike("^(?:" + "|".join(CTA_PREFIXES) + ")(?: |$)")
+_NOT_COMPARED = re.compile(r"[^\w\s#]")
+_SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
+_WORD_RUN = re.compile(r"\w+")
+_ODD_SPACE = re.compile(r"[^\S \n]")
+_OPEN = re.compile("&[#A-Za-z]|" + "|".join(MOJIBAKE_MARKERS))
+_CALLS = tuple(p + " " for p in CTA_PREFIXES)
 
 
-def without_cta(line: Column) -> Column:
-    """A line without its last sentences that only call for a click; empty if nothing else is left."""
-    joined = F.aggregate(
-        chunks(inline(line), SENTENCE_END),
-        F.struct(F.lit("").alias("kept"), F.lit("").alias("open")),
-        lambda a, s: F.when(is_cta(s), F.struct(a["kept"].alias("kept"), F.concat(a["open"], F.lit(" "), s).alias("open"))).otherwise(
-            F.struct(F.concat(a["kept"], a["open"], F.lit(" "), s).alias("kept"), F.lit("").alias("open"))
-        ),
-        lambda a: a["kept"],
-    )
-    return inline(joined)
+def compared_text(text: str) -> str:
+    """``comparison`` of a canonical text."""
+    return " ".join(_NOT_COMPARED.sub("", text.lower()).split())
 
 
-def _low_signal(line: Column) -> Column:
-    return comparison(line).isin(*LOW_SIGNAL_LINES)
+def _calls(text: str) -> bool:
+    return (compared_text(text) + " ").startswith(_CALLS)
 
 
-def sanitize(text: Column) -> Column:
-    """Text without lines of players and images, and without a tail of symbols or calls for a click.
+def _alnum(text: str) -> bool:
+    return any(map(str.isalnum, text))
 
-    The last line that holds something is found in one go: everything after it can be dropped, as the lines at the
-    end fall one after the other.
-    """
-    kept = F.transform(F.filter(split_lines(normalize_lines(text)), lambda line: ~_low_signal(line)), strip)
-    tails = F.transform(kept, lambda line: F.struct(line.alias("line"), without_cta(line).alias("tail")))
-    solid = lambda t: (t != "") & has_alnum(t) & ~is_cta(t)
-    marked = F.transform(tails, lambda x, i: F.struct(F.when(solid(x["tail"]), i + 1).otherwise(0).alias("at"), x["line"].alias("line"), x["tail"].alias("tail")))
-    joined = F.aggregate(
-        marked,
-        F.struct(F.lit(0).alias("last"), F.array().cast("array<string>").alias("lines"), F.lit("").alias("tail")),
-        lambda a, x: F.struct(
-            F.greatest(a["last"], x["at"]).alias("last"),
-            F.array_append(a["lines"], x["line"]).alias("lines"),
-            F.when(x["at"] > 0, x["tail"]).otherwise(a["tail"]).alias("tail"),
-        ),
-        lambda a: F.when(a["last"] == 0, F.lit("")).otherwise(
-            F.array_join(F.array_append(F.slice(a["lines"], F.lit(1), a["last"] - 1), a["tail"]), "\n")
-        ),
-    )
-    return normalize_lines(joined)
 
+def _without_calls(line: str, again: bool) -> str:
+    """A line without its last sentences that only call for a click; empty if nothing else is left."""
+    normal = lambda t: normalized_text(canonical_text(t) if again else t, False)
+    parts = [s.strip() for s in _SENTENCE_GAP.split(normal(line)) if s.strip()]
+    while parts and _calls(parts[-1]):
+        parts.pop()
+    return normal(" ".join(parts))
 
-def sanitized_text(text: str) -> str:
-    """``sanitize`` with canonical forms taken again at every step, which entities of entities and half repaired texts need."""
-
-    def normal(t: str, lines: bool = True) -> str:
-        t = re.sub(r"[ \t]+\n", "\n", canonical_text(t))
-        t = re.sub(r"[ \t]{2,}", " ", re.sub(r"\n[ \t]+", "\n", t))
-        return (re.sub(r"\n{3,}", "\n\n", t) if lines else re.sub(r"\s+", " ", t)).strip()
-
-    def compared(t: str) -> str:
-        return " ".join(re.sub(r"[^\w\s#]", "", t.lower()).split())
-
-    def calls(t: str) -> bool:
-        return (compared(t) + " ").startswith(tuple(p + " " for p in CTA_PREFIXES))
 
-    def rest(line: str) -> str:
-        parts = [s.strip() for s in re.split(r"(?<=[.!?])\s+", normal(line, False)) if s.strip()]
-        while parts and calls(parts[-1]):
-            parts.pop()
-        return normal(" ".join(parts), False)
+def sanitized_text(text: str, again: bool = True) -> str:
+    """A text without lines of players and images, and without a tail of symbols or calls for a click.
 
-    kept = [line.strip() for line in normal(text).splitlines() if compared(line) not in LOW_SIGNAL_LINES]
+    again: canonical forms are taken anew at every step, which entities of entities and half repaired texts need; for
+    other texts it changes nothing.
+    """
+    normal = lambda t: normalized_text(canonical_text(t) if again else t)
+    kept = [line.strip() for line in normal(text).splitlines() if compared_text(line) not in LOW_SIGNAL_LINES]
     while kept:
-        kept[-1] = rest(kept[-1])
-        if any(map(str.isalnum, kept[-1])) and not calls(kept[-1]):
+        kept[-1] = _without_calls(kept[-1], again)
+        if _alnum(kept[-1]) and not _calls(kept[-1]):
             break
         kept.pop()
     return normal("\n".join(kept))
 
 
-@F.pandas_udf(StringType())
-def _sanitized_again(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sanitized_text(t) if isinstance(t, str) else None)
-
-
-def sanitized_again(text: Column) -> Column:
-    return _sanitized_again(text)
-
-
-def open_ended(canonical: Column) -> Column:
-    """Whether a canonical text may still change if its canonical form is taken again."""
-    return canonical.rlike("&[#A-Za-z]|" + "|".join(MOJIBAKE_MARKERS))
-
-
-def sanitize_fully(canonical: Column) -> Column:
-    """``sanitize``, in Python for the few texts whose canonical form can still change, and in the JVM for all others."""
-    return F.coalesce(_sanitized_again(F.when(open_ended(canonical), canonical)), sanitize(canonical))
-
-
-_PHRASES = "|".join([*LOW_SIGNAL_LINES, *CTA_PREFIXES])
-_LOW_PHRASES = "|".join(LOW_SIGNAL_LINES)
-
-
-def nothing_to_drop(normalized: Column, compared: Column) -> Column:
-    """Whether a normalized text needs only a look at its tail: no phrase of the rules in it, no unusual white space."""
-    return ~compared.rlike(_PHRASES) & ~normalized.rlike(r"[\x09\x0B-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-
-
-def without_symbol_tail(normalized: Column) -> Column:
-    """``sanitize`` of a text with ``nothing_to_drop``: only lines of symbols at its end go."""
-    return F.regexp_replace(normalized, r"(?:(?:^|\n)[^\p{L}\p{N}\n]*)+\z", "")
-
-
-def holds_low_signal(compared: Column) -> Column:
-    return compared.rlike(_LOW_PHRASES)
-
-
-def only_removable(text: Column) -> Column:
-    """Whether every line is a call for a click or symbols; no lines don't count."""
-    lines = F.filter(F.transform(split_lines(normalize_lines(text)), strip), lambda line: line != "")
-    return (F.size(lines) > 0) & F.forall(lines, lambda line: ~has_alnum(without_cta(line)))
-
+def reason_against(normalized: str, compared: str, clean: str, clean_lines: int, n_words: int) -> str | None:
+    """The first rule by which a text is no post."""
+    if not compared:
+        return "empty_text"
+    if any(p in compared for p in LOW_SIGNAL_LINES):
+        lines = {c for line in normalized.splitlines() if (c := compared_text(line))}
+        if lines <= {LOW_SIGNAL_LINES[0]}:
+            return "image_placeholder"
+        if lines <= set(LOW_SIGNAL_LINES):
+            return "media_placeholder"
+    if not clean:
+        lines = [line for line in normalized_text(normalized).splitlines() if line.strip()]
+        return "cta_only" if lines and not any(_alnum(_without_calls(line.strip(), False)) for line in lines) else "empty_text"
+    if n_words < 8 or clean_lines <= 1 and n_words < 10:
+        return "thin_post"
+    if not _alnum(compared):
+        return "empty_text"
+    return None if _alnum(clean) else "cta_only"
+
+
+def judged_text(text: str | None) -> tuple[str, str, int, int, int, str, str | None]:
+    """``(normalized, clean, clean_lines, n_words, n_unique, fp, reason)`` of a text as it stands; null counts as empty."""
+    canonical = canonical_text(text)
+    normalized = normalized_text(canonical)
+    compared = compared_text(normalized)
+    if _OPEN.search(canonical):
+        clean = sanitized_text(canonical)
+    elif any(p in compared for p in _PHRASES) or _ODD_SPACE.search(normalized):
+        clean = sanitized_text(canonical, again=False)
+    elif normalized[-1:].isalnum():
+        clean = normalized
+    else:  # only lines of symbols at its end can go
+        lines = normalized.split("\n")
+        while lines and not _alnum(lines[-1]):
+            lines.pop()
+        clean = "\n".join(lines).strip()
+    words = _WORD_RUN.findall(clean)
+    clean_lines = sum(1 for line in clean.splitlines() if line.strip())
+    fp = compared if clean == normalized else compared_text(clean)
+    return normalized, clean, clean_lines, len(words), len({w.lower() for w in words}), fp, reason_against(normalized, compared, clean, clean_lines, len(words))
+
+
+_PHRASES = (*LOW_SIGNAL_LINES, *CTA_PREFIXES)
+_SCRAPED = [
+    (re.compile(pattern), to)
+    for pattern, to in (
+        (r"http[^\x09-\x0D\x1C-\x20\x85\xA0]+|www\.[^\x09-\x0D\x1C-\x20\x85\xA0]+", ""),
+        (r"<[^>]+>", ""),
+        (r"\r\n?", "\n"),
+        (r"\n{3,}", "\n\n"),
+        (r"[ \t]+\n", "\n"),
+        (r"\n[ \t]+", "\n"),
+        (r"[\x00-\x09\x0B-\x1F]", ""),
+        (r"([!?.]){2,}", r"\1"),
+        (r"\s+([,.;:!?])", r"\1"),
+        (r"([,;:!?.])([A-Za-z0-9])", r"\1 \2"),
+        (r"\s+\)", ")"),
+        (r"\(\s+", "("),
+    )
+]
+_BULLETS = re.compile(r"\s*[\u2022\u00B7\u2014\u2013]\s*")
+_LINE_ENDS = re.compile(r"\s*\n\s*")
+_HASHTAG_WORD = re.compile("hashtag", re.I | re.A)
+_HASHTAG_GAP = re.compile(r"\s+#\s*([A-Za-z0-9_]+)")
+
+
+def scraped_text(text: str | None) -> str:
+    """Scraped text ready to be judged: links, tags and control characters go, marks are single and spaced as in print, each bullet or dash begins a line, sentences begin with a capital, hashtags stand in the line."""
+    text = canonical_text(text)
+    for pattern, to in _SCRAPED:
+        text = pattern.sub(to, text)
+    text = _LINE_ENDS.sub("\n", _BULLETS.sub("\n", text.strip())).strip()
+    text = _HASHTAG_WORD.sub("", capitalized(text) or "")
+    return re.sub(r"[ \t]{2,}", " ", _HASHTAG_GAP.sub(r" #\1", text)).strip()
+
+
+_SILVER = StructType(
+    [StructField("normalized", StringType()), StructField("clean", StringType())]
+    + [StructField(n, t) for n, t in (("clean_lines", LongType()), ("n_words", IntegerType()), ("n_unique", IntegerType()))]
+    + [StructField("fp", StringType()), StructField("reason", StringType())]
+)
 
-def meaningful_lines(sanitized: Column) -> Column:
-    return F.size(F.filter(split_lines(sanitized), lambda line: strip(line) != "")).cast("bigint")
 
+def _silver_udf(scraped: bool):
+    @F.pandas_udf(_SILVER)
+    def silver(texts: pd.Series) -> pd.DataFrame:
+        told = (t if isinstance(t, str) else None for t in texts)
+        return pd.DataFrame([judged_text(scraped_text(t) if scraped else t) for t in told], columns=_SILVER.names)
 
-def fingerprint(sanitized: Column) -> Column:
-    return comparison(sanitized)
+    return silver
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
+def silver_columns(text: Column, scraped: bool = False) -> Column:
+    """Struct of ``judged_text``, in one Arrow crossing; with scraped of ``scraped_text`` first."""
+    return _silver_udf(scraped)(text)
 
 
 def preview(text: Column, limit: int = 160) -> Column:
@@ -271,59 +291,18 @@ def response_preview(text: Column, limit: int = 240) -> Column:
     )
 
 
-def basic_clean(text: Column) -> Column:
-    """Links, tags and control characters go; marks are single and spaced as in print."""
-    for pattern, to in (
-        (r"http[^\x09-\x0D\x1C-\x20\x85\xA0]+|www\.[^\x09-\x0D\x1C-\x20\x85\xA0]+", ""),
-        (r"<[^>]+>", ""),
-        (r"\r\n?", "\n"),
-        (r"\n{3,}", "\n\n"),
-        (r"[ \t]+\n", "\n"),
-        (r"\n[ \t]+", "\n"),
-        (r"[\x00-\x09\x0B-\x1F]", ""),
-        (r"([!?.]){2,}", "$1"),
-        (f"{WS}+([,.;:!?])", "$1"),
-        (r"([,;:!?.])([A-Za-z0-9])", "$1 $2"),
-        (rf"{WS}+\)", ")"),
-        (rf"\({WS}+", "("),
-    ):
-        text = F.regexp_replace(text, pattern, to)
-    return strip(text)
-
-
 def capitalized(text: str | None) -> str | None:
     """Words of letters with two capitals or more stay, others become small; sentences, lines and a lone i begin with a capital."""
     if not text:
         return text
     tokens = re.findall(r"\S+|\n", re.sub(r"[ \t]+", " ", text.strip()))
-    kept = [t if t.isalpha() and sum(c.isupper() for c in t) > 1 else t.lower() for t in tokens]
+    kept = [t if t.islower() or t.isalpha() and sum(map(str.isupper, t)) > 1 else t.lower() for t in tokens]
     flat = " ".join(kept).replace(" \n ", "\n")
     flat = re.sub(r"(^|[.!?\n]\s*)([a-z])", lambda m: m[1] + m[2].upper(), flat)
     flat = re.sub(r"\bi\b", "I", flat)
     return re.sub(r" *\n *", "\n", flat).strip()
 
 
-@F.pandas_udf(StringType())
-def _sentence_capitalize(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: capitalized(t) if isinstance(t, str) else None)
-
-
-def sentence_capitalize(text: Column) -> Column:
-    return _sentence_capitalize(text)
-
-
-def normalize_hashtags(text: Column) -> Column:
-    text = F.regexp_replace(text, "(?i)hashtag", "")
-    text = F.regexp_replace(text, rf"[\n{SPACES}]+#{WS}*([A-Za-z0-9_]+)", " #$1")
-    return strip(F.regexp_replace(text, r"[ \t]{2,}", " "))
-
-
-def broken_lines(canonical: Column) -> Column:
-    """Scraped text after ``basic_clean``, a line for each bullet or dash, without empty lines."""
-    text = F.regexp_replace(basic_clean(canonical), f"{WS}*[\\x{{2022}}\\x{{00B7}}\\x{{2014}}\\x{{2013}}]{WS}*", "\n")
-    return strip(F.regexp_replace(text, f"{WS}*\n{WS}*", "\n"))
-
-
 def trailing_hashtags(text: Column) -> Column:
     """Struct ``(body, hashtags)``; hashtags at the end count only after white space."""
     pattern = f"(?s)^(.*?)(?:{WS}+((?:#{WORD}{WS}*)+))?$"

@@ -14,59 +14,24 @@ def add_clean_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``normalized, clean, clean_lines, n_words, n_unique, fp, reason``, each worked out once.
 
     clean is the sanitized text, fp what texts are compared by, reason why a text is no post, or null. A null text
-    counts as empty. One Arrow function sees the text; the rest is in the JVM.
+    counts as empty. One Arrow function gives all of them, behind a generator, through which the optimizer moves no
+    filter: it would call the function again for it.
     """
-    ship_package(df.sparkSession)
-    staged = df.withColumn("__canon", T.canonicalize(F.col(text_col)))
-    staged = staged.withColumn("__again", T.open_ended(F.col("__canon"))).withColumn("normalized", T.normalize_lines(F.col("__canon")))
-    staged = staged.withColumn("__compared", T.comparison(F.col("normalized")))
-    staged = staged.withColumn("__plain", ~F.col("__again") & T.nothing_to_drop(F.col("normalized"), F.col("__compared")))
-    staged = staged.withColumn(
-        "clean",
-        F.coalesce(
-            T.sanitized_again(F.when(F.col("__again"), F.col("__canon"))),
-            F.when(F.col("__plain"), T.without_symbol_tail(F.col("normalized"))).otherwise(T.sanitize(F.col("__canon"))),
-        ),
-    )
-    staged = staged.withColumn("__words", T.words(F.col("clean"))).withColumn("clean_lines", T.meaningful_lines(F.col("clean")))
-    staged = staged.withColumn("n_words", F.size("__words")).withColumn("n_unique", F.size(F.array_distinct(F.transform("__words", F.lower))))
-    same = F.col("clean") == F.col("normalized")
-    staged = staged.withColumn("fp", F.when(same, F.col("__compared")).otherwise(T.fingerprint(F.col("clean"))))
-    return _once(staged.withColumn("reason", _reason()), df.columns)
+    return _silver(df, text_col, False)
 
 
 CLEAN_COLUMNS = ("normalized", "clean", "clean_lines", "n_words", "n_unique", "fp", "reason")
 
 
-def _once(staged: DataFrame, kept: list[str]) -> DataFrame:
-    """The silver columns behind a generator, through which the optimizer moves no filter: it would work them out again for it."""
-    others = [F.col(f"`{c}`") for c in kept if c not in CLEAN_COLUMNS]
-    return staged.select(*others, F.inline(F.array(F.struct(*CLEAN_COLUMNS))))
+def _silver(df: DataFrame, text_col: str, scraped: bool) -> DataFrame:
+    ship_package(df.sparkSession)
+    others = [F.col(f"`{c}`") for c in df.columns if c not in CLEAN_COLUMNS]
+    return df.select(*others, F.inline(F.array(T.silver_columns(F.col(text_col), scraped))))
 
 
 def add_cleaned_post(df: DataFrame, raw_col: str) -> DataFrame:
     """``df`` with the silver columns of scraped text after its whole cleaning; ``clean`` is the post. Null counts as empty."""
-    ship_package(df.sparkSession)
-    kept = df.columns
-    staged = df.withColumn("__canon0", T.canonicalize(F.col(raw_col))).withColumn("__cased", T.sentence_capitalize(T.broken_lines(F.col("__canon0"))))
-    staged = staged.withColumn("__raw", T.normalize_hashtags(F.coalesce("__cased", F.lit(""))))
-    return add_clean_columns(staged.select(*[F.col(f"`{c}`") for c in kept], "__raw"), "__raw").drop("__raw")
-
-
-def _reason() -> Column:
-    """The first rule that holds against a text."""
-    lines = F.filter(F.transform(T.split_lines(F.col("normalized")), T.comparison), lambda line: line != "")
-    low = T.holds_low_signal(F.col("__compared"))
-    return (
-        F.when(F.col("__compared") == "", "empty_text")
-        .when(low & F.forall(lines, lambda line: line == T.LOW_SIGNAL_LINES[0]), "image_placeholder")
-        .when(low & F.forall(lines, lambda line: line.isin(*T.LOW_SIGNAL_LINES)), "media_placeholder")
-        .when((F.col("clean") == "") & T.only_removable(F.col("normalized")), "cta_only")
-        .when(F.col("clean") == "", "empty_text")
-        .when((F.col("n_words") < 8) | (F.col("clean_lines") <= 1) & (F.col("n_words") < 10), "thin_post")
-        .when(~T.has_alnum(F.col("__compared")), "empty_text")
-        .when(~T.has_alnum(F.col("clean")), "cta_only")
-    )
+    return _silver(df, raw_col, True)
 
 
 def example_score(engagement: Column, tags: Column, line_count: Column) -> Column:

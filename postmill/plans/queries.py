@@ -72,7 +72,7 @@ def length_buckets(spark, sf_dir):
 
 
 def fingerprint_best(spark, sf_dir):
-    return retrieval.best_per_fingerprint(_silver(spark, sf_dir)).select("fp", "idx", "first_idx")
+    return retrieval.best_per_fingerprint(cut_lineage(_silver(spark, sf_dir))).select("fp", "idx", "first_idx")
 
 
 def fingerprint_first(spark, sf_dir):
@@ -80,8 +80,8 @@ def fingerprint_first(spark, sf_dir):
 
 
 def filtered_posts(spark, sf_dir):
-    found = retrieval.filtered_posts(_silver(spark, sf_dir), "Short", "English", "Investing")
-    return found.select(F.col("rank").cast("bigint").alias("rank"), "idx", F.round("score", 6).alias("score"), "engagement")
+    found = retrieval.filtered_posts(cut_lineage(_silver(spark, sf_dir)), "Short", "English", "Investing")
+    return found.select("rank", "idx", F.round("score", 6).alias("score"), "engagement")
 
 
 def prompt_examples(spark, sf_dir):
