@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from postmill.functions.numbers import first_number, social_count
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements that begin and end a line of their own when shown.
+_BLOCKS = frozenset("address article aside blockquote dd div dl dt footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table td th tr ul".split())
 #: Where a card's text is looked for, in this order (fixed values): tag, attribute, and what its value holds.
 TEXT_PLACES = (
     ("div", "class", "feed-shared-update-v2__description-wrapper"),
@@ -21,6 +23,7 @@ TEXT_PLACES = (
     ("div", "data-test-id", "post-content"),
     ("p", "", ""),
 )
+#: Classes of elements that may be cards, classes that mark a card as one, classes of its text, and words of its reaction buttons (fixed values).
 CARD_CLASSES = ("feed-shared-update-v2", "occludable-update", "update-components-update-v2", "fie-impression-container")
 CARD_MARKERS = ("feed-shared", "occludable-update", "update-components", "main-feed-activity-card", "fie-impression-container")
 BLOCK_CLASSES = ("feed-shared-text", "feed-shared-update-v2__description-wrapper", "break-words", "update-components-text")
@@ -52,6 +55,31 @@ class Node:
     def raw(self) -> str:
         return "".join(self.pieces())
 
+    def shown(self) -> str:
+        """The text as it is shown: white space is single, breaks and blocks end lines."""
+        out: list[str] = []
+        _show(self, out)
+        lines = [re.sub(r"[ \t\r\n\f]+", " ", line).strip(" ") for line in "".join(out).split("\0")]
+        return re.sub(r"\n{2,}", "\n", "\n".join(lines)).strip("\n")
+
+    def copy(self) -> Node:
+        made = Node(self.tag, self.attributes)
+        made.children = [c.copy() if isinstance(c, Node) else c for c in self.children]
+        return made
+
+
+def _show(node: Node, out: list[str]) -> None:
+    for child in node.children:
+        if isinstance(child, str):
+            out.append(child)
+        elif child.tag == "br":
+            out.append("\0")
+        elif child.tag not in ("script", "style"):
+            edge = ["\0"] if child.tag in _BLOCKS else []
+            out += edge
+            _show(child, out)
+            out += edge
+
 
 class _Builder(HTMLParser):
     def __init__(self):
@@ -102,33 +130,54 @@ def _flatten(node: Node) -> None:
     node.children = kept
 
 
-def card_text(html: str | None) -> str:
-    """A card's text: of the first place that has any, else all of it if it is longer than three characters."""
-    root = parse(html)
+def _has(node: Node, attribute: str, part: str) -> bool:
+    value = node.attributes.get(attribute, "")
+    return part in value if attribute == "class" else value == part
+
+
+def _card_text_of(root: Node) -> str:
     _flatten(root)
     for tag, attribute, part in TEXT_PLACES:
-        node = next((n for n in root.walk() if n.tag == tag and (not attribute or (part in n.attributes.get(attribute, "") if attribute == "class" else n.attributes.get(attribute) == part))), None)
+        node = next((n for n in root.walk() if n.tag == tag and (not attribute or _has(n, attribute, part))), None)
         if node is not None and (text := node.text("\n")):
             return text
     text = root.text("\n")
     return text if len(text) > 3 else ""
 
 
+def card_text(html: str | None) -> str:
+    """A card's text: of the first place that has any, else all of it if it is longer than three characters."""
+    return _card_text_of(parse(html))
+
+
+def _is_card(node: Node) -> bool:
+    """Whether an element is one of those that may be a card at all."""
+    classes = node.attributes.get("class", "")
+    return node.tag == "article" or node.tag == "div" and ("data-urn" in node.attributes or any(c in classes for c in CARD_CLASSES))
+
+
+def _described(node: Node) -> dict:
+    """What the rules for cards look at; text, buttons and blocks are of what is inside the element."""
+    inside = list(node.walk())
+    blocks = [n.shown() for n in inside if any(_has(n, "class", c) for c in BLOCK_CLASSES) or _has(n, "data-test-id", "post-content")]
+    return {
+        "tag": node.tag, "classes": node.attributes.get("class", ""), "urn": node.attributes.get("data-urn", ""),
+        "buttons": [{"label": (n.attributes.get("aria-label") or "").lower(), "text": n.text(" ")} for n in inside if n.tag == "button"],
+        "blocks": [b for b in blocks if b.strip()], "text": node.shown(),
+    }
+
+
 def _parts(html: str | None) -> dict:
+    """The first element of a piece of HTML as a card, with the text of all of it."""
     root = parse(html)
-    buttons = [
-        {"label": (n.attributes.get("aria-label") or "").lower(), "text": n.text(" ")} for n in root.walk() if n.tag == "button"
-    ]
     first = next((c for c in root.children if isinstance(c, Node)), Node())
-    blocks = [
-        n.raw()
-        for n in root.walk()
-        if any(c in n.attributes.get("class", "") for c in BLOCK_CLASSES) or n.attributes.get("data-test-id") == "post-content"
-    ]
-    return {
-        "tag": first.tag, "classes": first.attributes.get("class", ""), "urn": first.attributes.get("data-urn", ""),
-        "buttons": buttons, "blocks": [re.sub(r"\s+", " ", b).strip() for b in blocks if b.strip()], "text": root.text(" "),
-    }
+    whole = _described(root)
+    return whole | {"tag": first.tag, "classes": first.attributes.get("class", ""), "urn": first.attributes.get("data-urn", "")}
+
+
+def page_cards(html: str | None) -> list[dict]:
+    """The cards of a page in the order of the document; a card inside another is a card of its own."""
+    return [_described(n) | {"content": _card_text_of(n.copy())} for n in parse(html).walk() if _is_card(n)]
 
 
 _BUTTON = StructType([StructField("label", StringType()), StructField("text", StringType())])
@@ -138,6 +187,19 @@ _CARD = StructType(
 )
 
 
+_PAGE = ArrayType(StructType([*_CARD.fields, StructField("content", StringType())]))
+
+
+@F.pandas_udf(_PAGE)
+def _cards(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: page_cards(p if isinstance(p, str) else None))
+
+
+def html_cards(html: Column) -> Column:
+    """Array of the cards of a page: what ``html_card`` has, and ``content``, the text found by the places texts are in."""
+    return _cards(html)
+
+
 @F.pandas_udf(StringType())
 def _card_text(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: card_text(p) if isinstance(p, str) else "")

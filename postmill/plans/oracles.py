@@ -180,6 +180,7 @@ SQL: dict[str, str] = {
     "label_numbers": f"SELECT idx, {_abbreviated('engagement_label')} AS abbreviated, {_abbreviated(_FIRST)} AS first_number, {_abbreviated(_SOCIAL)} AS social, "
     f"coalesce({_INTEGER}, 0) AS coerced FROM raw_posts",
     "marker_counts": "SELECT idx, CAST(" + " + ".join(f"(length(t) - length(replace(t, '{m}', ''))) / {len(m)}" for m in ("Ã", "Â", "â€", "ðŸ")) + " AS bigint) AS n FROM (SELECT idx, coalesce(text, '') AS t FROM raw_posts)",
+    "page_posts": "SELECT author_id // 4 AS idx, 'Author number ' || author_id || ' writes about work and people every week' AS text, author_id % 90 + 1 AS engagement FROM authors WHERE author_id % 4 < 3",
     "public_ids": "SELECT author_id, public_id FROM authors WHERE public_id IS NOT NULL AND regexp_full_match(public_id, '[A-Za-z0-9_-]+')",
     "latest_checkpoints": "SELECT idx, post.engagement AS engagement, post.line_count AS line_count, post.language AS language, length(post.text) AS n_chars "
     "FROM (SELECT idx, post, row_number() OVER (PARTITION BY idx ORDER BY written_at DESC) AS nth FROM checkpoints WHERE idx IS NOT NULL AND written_at IS NOT NULL) WHERE nth = 1",

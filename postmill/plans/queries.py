@@ -255,6 +255,22 @@ def html_posts(spark, sf_dir):
     return readers.posts_of_pages(documents.select(F.col("doc_id").alias("idx"), card.alias("html")))
 
 
+def page_posts(spark, sf_dir):
+    """Posts of pages of several cards: an article, an element known by its class, a card inside another, and an element that is none."""
+    text = F.concat(F.lit("Author number "), F.col("author_id").cast("string"), F.lit(" writes about work and people every week"))
+    likes = F.concat(F.lit('<button aria-label="'), (F.col("author_id") % 90 + 1).cast("string"), F.lit(' reactions">ok</button>'))
+    made = lambda before, after: F.concat(F.lit(before), text, F.lit(after))
+    card = (
+        F.when(F.col("author_id") % 4 == 0, F.concat(made('<article><div class="feed-shared-text">', "</div>"), likes, F.lit("</article>")))
+        .when(F.col("author_id") % 4 == 1, F.concat(made('<div class="x occludable-update"><article><p>', "</p>"), likes, F.lit("</article></div>")))
+        .when(F.col("author_id") % 4 == 2, F.concat(made('<div data-urn="u:1"><span class="break-words">', "</span>"), likes, F.lit("</div>")))
+        .otherwise(made('<div class="sidebar"><p>', "</p></div>"))
+    )
+    pages = read_table(spark, sf_dir, "authors").groupBy(F.floor(F.col("author_id") / 4).cast("bigint").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("author_id", card.alias("card")))).alias("cards"))
+    html = F.concat(F.lit("<html><body><main>"), F.array_join(F.col("cards.card"), "\n"), F.lit("</main></body></html>"))
+    return readers.posts_of_pages(pages.select("idx", html.alias("html")))
+
+
 def json_posts(spark, sf_dir):
     """Posts read back from activity documents made of the documents' texts."""
     documents = read_table(spark, sf_dir, "documents")
@@ -285,7 +301,7 @@ _ALL: tuple[Query, ...] = (
     prompt_examples, post_prompts, variants_prompts, generated_variants, variant_cards, brief_chips, tag_universe, tags_normalized, tag_counts, tag_remap,
     language_list, dashboard_counts, display_lines, trailing_hashtags, hashtag_counts, tag_slugs, label_numbers, marker_counts, public_ids, latest_checkpoints,
     pending_posts, valid_checkpoints, failure_tally, cleaned_raw_posts, variant_layout, near_duplicates, enriched_posts, enrichment_failures, html_posts,
-    json_posts, answer_parsing, card_scan,
+    page_posts, json_posts, answer_parsing, card_scan,
 )
 
 

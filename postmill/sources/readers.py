@@ -91,15 +91,21 @@ def latest_checkpoints(states: DataFrame) -> DataFrame:
 
 
 def posts_of_pages(pages: DataFrame, id_col: str = "idx", html_col: str = "html") -> DataFrame:
-    """``idx, text, engagement``: posts of the cards in ``pages``, cleaned, the first of each fingerprint."""
+    """``idx, text, engagement``: posts of the cards in ``pages``, cleaned, the first of each fingerprint.
+
+    A page may hold any number of cards, inside one another too; idx is that of the page. A card's text is its first text
+    block, else the first place that texts are in, else all of it. Pages that are null or hold no card give no row.
+    """
     ship_package(pages.sparkSession)
-    cards = pages.select(F.col(id_col).alias("idx"), F.col(html_col).alias("html")).withColumn("card", htmlx.html_card(F.col("html")))
-    likely = cards.where(htmlx.likely_post(F.col("card")))
+    cards = pages.select(F.col(id_col).alias("idx"), F.posexplode(htmlx.html_cards(F.col(html_col))).alias("at", "card"))
+    likely = cards.where(htmlx.is_card(F.col("card")) & htmlx.likely_post(F.col("card")))
     block = F.get(F.col("card.blocks"), F.lit(0))
-    raw = F.when(F.length(F.coalesce(block, F.lit(""))) >= 3, block).otherwise(htmlx.html_text(F.col("html")))
+    raw = F.when(F.length(F.coalesce(block, F.lit(""))) >= 3, block).otherwise(F.coalesce(F.nullif("card.content", F.lit("")), F.col("card.text")))
     blob = social_count(F.col("card.text"))
-    found = likely.select("idx", raw.alias("raw"), F.when(blob > 0, blob).otherwise(htmlx.card_likes(F.col("card"))).alias("engagement"))
-    return _cleaned(found.where(F.length(F.trim("raw")) >= 3), "idx")
+    found = likely.select(
+        F.struct("idx", "at").alias("key"), "idx", raw.alias("raw"), F.when(blob > 0, blob).otherwise(htmlx.card_likes(F.col("card"))).alias("engagement")
+    )
+    return _cleaned(found.where(F.length(F.trim("raw")) >= 3), "key").drop("key")
 
 
 def posts_of_activity(documents: DataFrame, id_col: str = "idx", json_col: str = "json") -> DataFrame:
