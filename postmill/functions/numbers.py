@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import inline, strip
 
+# What a count looks like, and the words for reactions beside it.
 _COUNT = r"\d{1,3}(?:[.,]\d{3})+|\d+(?:\.\d+)?(?:\s?[KkMm])?"
 FIRST_COUNT = rf"\b({_COUNT})\b"
 SOCIAL_COUNT = rf"(?i)\b({_COUNT})\s*(?:reactions?|likes?|react)\b"

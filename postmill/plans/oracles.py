@@ -7,8 +7,11 @@ operators on them are tested against plain Python instead.
 
 from __future__ import annotations
 
-from postmill.functions.text import CTA_PREFIXES, LOW_SIGNAL_LINES
-from postmill.operators.retrieval import LABELS, TIERS
+# The constants are written down here once more, so that a wrong one of the engine doesn't pass for right.
+CTA_PREFIXES = ("read more", "learn more", "watch here", "watch the replay", "catch up", "hope you take a moment to watch", "i wrote more about this here")
+LOW_SIGNAL_LINES = ("activate to view larger image", "media player modal window", "no alternative text description for this image", "play video", "video player")
+TIERS = ("exact_match", "same_tag_same_language", "same_tag_any_language", "global_best")
+LABELS = ("Exact match", "Same tag and language; length relaxed", "Same tag; language and length relaxed", "Global fallback")
 
 _SPACES = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _WS = f"[{_SPACES}]"
@@ -167,6 +170,16 @@ SQL: dict[str, str] = {
     f"plain AS (SELECT idx, unnest({_tags()}) AS tag, generate_subscripts({_tags()}, 1) AS pos FROM processed_posts), "
     "mapped AS (SELECT idx, coalesce(canon, tag) AS tag, min(pos) AS pos FROM plain LEFT JOIN aliases ON lower(tag) = alias GROUP BY 1, 2) "
     "SELECT idx, string_agg(tag, '|' ORDER BY pos) AS tags FROM mapped GROUP BY idx",
+    "tag_remap_by_map": "WITH aliases AS (SELECT lower(a) AS alias, min(canon_tag) AS canon FROM (SELECT canon_tag, unnest(list_prepend(canon_tag, aliases)) AS a FROM canonical_tags) GROUP BY 1), "
+    f"plain AS (SELECT idx, unnest({_tags()}) AS tag, generate_subscripts({_tags()}, 1) AS pos FROM processed_posts), "
+    "mapped AS (SELECT idx, coalesce(canon, tag) AS tag, min(pos) AS pos FROM plain LEFT JOIN aliases ON lower(tag) = alias GROUP BY 1, 2) "
+    "SELECT idx, string_agg(tag, '|' ORDER BY pos) AS tags FROM mapped GROUP BY idx",
+    "response_previews": f"SELECT idx, CASE WHEN text IS NULL THEN 'no response received' WHEN flat = '' THEN 'empty response body' WHEN length(flat) > 240 THEN substr(flat, 1, 240) || '...' ELSE flat END AS preview "
+    f"FROM (SELECT idx, text, {_inline("coalesce(text, '')")} AS flat FROM raw_posts)",
+    "response_texts": f"SELECT idx, failed_at, stage, coalesce(nullif({_strip('text_preview')}, ''), nullif({_strip('error_message')}, ''), {_strip('reason')}) AS text FROM (SELECT DISTINCT * FROM failures) WHERE idx IS NOT NULL",
+    "first_keys": "SELECT author_id, CAST(to_json(headline) AS varchar) AS headline, CAST(followers AS varchar) AS followers FROM authors",
+    "option_check": "SELECT canon_id AS brief_id, canon_id % 6 BETWEEN 1 AND 4 AND canon_id % 7 <> 0 AS valid, canon_tag || '/' || CASE canon_id % 3 WHEN 0 THEN 'Short' WHEN 1 THEN 'Medium' ELSE 'Long' END || '/' || "
+    "CASE WHEN canon_id % 7 = 0 THEN 'Shouting' ELSE 'Professional' END || '/' || (canon_id % 6 - 1) AS signature FROM canonical_tags",
     "language_list": f"SELECT DISTINCT coalesce(nullif({_strip('language')}, ''), 'English') AS language FROM processed_posts",
     "dashboard_counts": _with(_CLEAN)
     + "SELECT (SELECT count(*) FROM scored) AS n_posts, (SELECT count(DISTINCT t) FROM (SELECT unnest(tags) AS t FROM scored WHERE reason IS NULL)) AS n_tags, "

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import htmlx, jsonx, numbers
 from postmill.functions import text as T
-from postmill.functions.tags import normalize_tags
+from postmill.functions.tags import normalize_tags, remap_tags
 from postmill.operators import dedup, enrich, generate, quality, retrieval
 from postmill.plans import oracles
 from postmill.session import cut_lineage, read_table, ship_package
@@ -153,6 +153,37 @@ def tag_remap(spark, sf_dir):
     return kept.select("idx", F.array_join(F.col("t.tag"), "|").alias("tags"))
 
 
+def tag_remap_by_map(spark, sf_dir):
+    """``tag_remap`` by a map in the plan, as the answer of a model comes."""
+    refs = read_table(spark, sf_dir, "canonical_tags").select("canon_tag", "aliases").orderBy("canon_tag").collect()  # a fixed list
+    known = {a.lower(): r.canon_tag for r in reversed(refs) for a in [r.canon_tag, *(r.aliases or [])]}
+    mapping = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+    low = _tags(spark, sf_dir).where(F.size("tags") > 0).select("idx", F.transform("tags", lambda t: F.coalesce(F.try_element_at(mapping, F.lower(t)), t)).alias("tags"))
+    return low.select("idx", F.array_join(remap_tags(F.col("tags"), mapping), "|").alias("tags"))
+
+
+def response_previews(spark, sf_dir):
+    return read_table(spark, sf_dir, "raw_posts").select("idx", T.response_preview(F.col("text")).alias("preview"))
+
+
+def response_texts(spark, sf_dir):
+    parts = read_table(spark, sf_dir, "failures").where("idx IS NOT NULL").distinct()
+    return parts.select("idx", "failed_at", "stage", enrich.response_text(F.col("text_preview"), F.col("error_message"), F.col("reason")).alias("text"))
+
+
+def first_keys(spark, sf_dir):
+    """The first value under a key of nested documents made of the authors."""
+    inner = F.struct("headline", F.struct("followers").alias("count"))
+    document = F.to_json(F.struct(F.struct(F.lit(1).alias("none")).alias("first"), F.array(inner).alias("elements"), F.col("profile_kind")))
+    return read_table(spark, sf_dir, "authors").select("author_id", jsonx.find_first_key(document, "headline").alias("headline"), jsonx.find_first_key(document, "followers").alias("followers"))
+
+
+def option_check(spark, sf_dir):
+    """Briefs whose hashtag counts run out of range, and what a result is keyed by."""
+    wanted = briefs(spark, sf_dir).withColumn("hashtag_count", F.col("brief_id") % 6 - 1).withColumn("tone", F.when(F.col("brief_id") % 7 == 0, "Shouting").otherwise(F.col("tone")))
+    return wanted.select("brief_id", generate.valid_options(wanted).alias("valid"), F.array_join(F.array(*[generate.brief_signature()[k].cast("string") for k in ("tag", "length", "tone", "hashtag_count")]), "/").alias("signature"))
+
+
 def language_list(spark, sf_dir):
     stored = F.coalesce(F.nullif(T.strip(F.col("language")), F.lit("")), F.lit("English"))
     return read_table(spark, sf_dir, "processed_posts").select(stored.alias("language")).distinct()
@@ -232,9 +263,7 @@ def near_duplicates(spark, sf_dir):
 
 
 def _batch(spark, sf_dir):
-    raw = read_table(spark, sf_dir, "raw_posts").where(F.col("text").isNotNull() & (T.strip(F.col("text")) != ""))
-    shown = raw.where(T.strip(T.normalize_lines(F.translate("text", T.INVISIBLE, ""))) != "")
-    return enrich.process_posts(shown.select("idx", "text", "engagement"), stub_client)
+    return enrich.process_posts(read_table(spark, sf_dir, "raw_posts").select("idx", "text", "engagement"), stub_client, blank_fails=True)
 
 
 def enriched_posts(spark, sf_dir):
@@ -299,6 +328,7 @@ def card_scan(spark, sf_dir):
 _ALL: tuple[Query, ...] = (
     clean_text, quality_reason, quality_tally, raw_quality, score_posts, text_preview, length_buckets, fingerprint_best, fingerprint_first, filtered_posts,
     prompt_examples, post_prompts, variants_prompts, generated_variants, variant_cards, brief_chips, tag_universe, tags_normalized, tag_counts, tag_remap,
+    tag_remap_by_map, response_previews, response_texts, first_keys, option_check,
     language_list, dashboard_counts, display_lines, trailing_hashtags, hashtag_counts, tag_slugs, label_numbers, marker_counts, public_ids, latest_checkpoints,
     pending_posts, valid_checkpoints, failure_tally, cleaned_raw_posts, variant_layout, near_duplicates, enriched_posts, enrichment_failures, html_posts,
     page_posts, json_posts, answer_parsing, card_scan,

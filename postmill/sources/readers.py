@@ -16,6 +16,7 @@ from postmill.functions.tags import tags_of_variant
 from postmill.operators.quality import add_cleaned_post
 from postmill.operators.retrieval import first_per_fingerprint
 from postmill.session import ship_package
+from postmill.sources.files import exists
 
 LANGUAGES = ("English", "Hinglish")
 
@@ -52,6 +53,20 @@ def read_raw_posts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("idx", _text("Raw posts").alias("text"), coerce_variant(_field("engagement")).alias("engagement"))
 
 
+def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``idx, text, engagement`` of JSON Lines, an object with ``idx`` in each line: the form for large collections.
+
+    Files are split between tasks anywhere. Unknown keys are ignored; a line that is no object, has no idx, or a missing or
+    blank text stops the read.
+    """
+    lines = spark.read.text(path).where(T.strip(F.col("value")) != "").select(F.try_parse_json("value").alias("v"), "value")
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    bad = F.raise_error(F.concat(F.lit("Raw posts: no object with an idx in the line "), F.substring("value", 1, 80)))
+    keyed = lines.select(F.when(is_object, F.try_variant_get("v", "$.idx", "bigint")).alias("idx"), "v", "value")
+    rows = keyed.select(F.coalesce(F.col("idx"), bad.cast("bigint")).alias("idx"), "v")
+    return rows.select("idx", _text("Raw posts").alias("text"), coerce_variant(_field("engagement")).alias("engagement"))
+
+
 def read_processed_posts(spark: SparkSession, path: str, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """``idx, text, engagement, line_count, language, tags`` of a JSON list; a language that isn't supported stops the read."""
     return _processed(_elements(spark, path, "Processed posts"), languages)
@@ -72,7 +87,7 @@ def _processed(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
 
 def read_checkpoint(spark: SparkSession, path: str, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """Posts of a checkpoint file ``{"records": [{"index", "post"}]}``; a missing file has none, of equal indexes the last counts."""
-    if not os.path.exists(path.removeprefix("file://")) and "://" not in path:
+    if not exists(spark, path):
         return spark.createDataFrame([], "idx bigint, text string, engagement bigint, line_count bigint, language string, tags array<string>")
     whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
     records = F.try_variant_get("doc", "$.records", "array<variant>")

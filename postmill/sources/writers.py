@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.sources.files import written_text
+
 
 def write_table(df: DataFrame, path: str) -> None:
     """Parquet, each partition its own file; the form that a large batch is kept in."""
@@ -18,9 +19,8 @@ def write_json_list(df: DataFrame, path: str, order_col: str = "idx", keep_order
     """One JSON list in the order of ``order_col``, streamed through the driver row by row; returns the number of rows."""
     fields = [c for c in df.columns if keep_order_col or c != order_col]
     rows = df.orderBy(F.col(order_col).asc_nulls_first()).select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("j"))
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
     n = 0
-    with open(path, "w", encoding="utf-8") as file:
+    with written_text(df.sparkSession, path) as file:
         file.write("[")
         for row in rows.toLocalIterator():
             text = json.dumps(json.loads(row.j), ensure_ascii=False, indent=indent)
@@ -35,8 +35,7 @@ def write_checkpoint(posts: DataFrame, path: str) -> None:
     records = posts.orderBy("idx").select(
         F.to_json(F.struct(F.col("idx").alias("index"), F.struct("text", "engagement", "line_count", "language", "tags").alias("post"))).alias("j")
     )
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as file:
+    with written_text(posts.sparkSession, path) as file:
         file.write('{"records": [')
         for n, row in enumerate(records.toLocalIterator()):
             file.write((", " if n else "") + row.j)

@@ -9,31 +9,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postmill.operators.enrich import ClientFactory, process_posts
 from postmill.operators.quality import add_clean_columns
-
-
-def _existing(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  no such table yet
-        return None
+from postmill.sources.files import exists
 
 
 def enrich_stream(raw: DataFrame, out_dir: str, make_client: ClientFactory, languages: tuple[str, ...] = ("English", "Hinglish")) -> StreamingQuery:
     """Starts a query that enriches new raw posts (``idx, text, engagement``) and writes posts and failures below ``out_dir``.
 
-    Every micro-batch writes its own directory, so one that is repeated after a failure overwrites itself. Posts that
-    an earlier micro-batch has written are skipped. Duplicates are resolved within a micro-batch.
+    Posts are one table, partitioned by micro-batch; a micro-batch that is repeated after a failure overwrites its own
+    partition. Posts that an earlier micro-batch has written are skipped. Duplicates are resolved within a micro-batch. A
+    null idx is left out; a text that is blank, or has nothing to be seen in it, becomes a failure and stops nothing.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = [p for k in range(number) if (p := _existing(spark, f"{out_dir}/posts/batch={k}")) is not None]
-        fresh = batch.where("idx IS NOT NULL AND trim(text) <> ''")
-        for posts in earlier:
-            fresh = fresh.join(posts.select("idx"), "idx", "left_anti")
-        done = process_posts(fresh, make_client, languages=languages)
-        done.posts.write.mode("overwrite").parquet(f"{out_dir}/posts/batch={number}")
-        done.failures.write.mode("overwrite").parquet(f"{out_dir}/failures/batch={number}")
+        fresh = batch.where("idx IS NOT NULL")
+        if exists(spark, f"{out_dir}/posts"):
+            earlier = spark.read.parquet(f"{out_dir}/posts").where(F.col("batch") < number)
+            fresh = fresh.join(earlier.select("idx"), "idx", "left_anti")
+        done = process_posts(fresh, make_client, languages=languages, blank_fails=True)
+        for frame, name in ((done.posts, "posts"), (done.failures, "failures")):
+            frame.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch={number}")
 
     return raw.writeStream.foreachBatch(step).option("checkpointLocation", f"{out_dir}/progress").trigger(availableNow=True).start()
 
