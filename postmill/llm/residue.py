@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from http import HTTPStatus
 
 import numpy as np
@@ -168,10 +169,11 @@ _FUNCTION_WORDS = frozenset(
 _COVERED = _THINGS | _STATES | _IF_NOT | _SIGNALS | _NOTICE_LINKS | _MASH | _FUNCTION_WORDS
 _DRAWN = _PARTS | _ACTS | _PART_LINKS | _PLACES
 
-_TABLE = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord(c): "0" for c in "0123456789"} | {ord(c): "\n" for c in ".!?\n\r।"}
-_TABLE |= dict.fromkeys([0x200B, 0x200C, 0x2060, 0xFEFF, 0xAD, 0x27], "") | dict.fromkeys([0x2019, 0xA0, 0x2014, 0x2013, 0x2026, 0x27A1, 0xFE0F], " ")
-_TABLE[0x2019] = ""
-_ZEROS = re.compile("00+")
+#: What single bytes become: marks blanks, digits 0, ends of sentences and lines ends of segments; bytes of other letters stay.
+_TABLE = bytes(10 if c in b".!?\n\r" else 48 if 48 <= c < 58 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+_OTHER_MARKS = {"।": "\n"} | dict.fromkeys("\u200b\u200c\u2060\ufeff\xad’", "") | dict.fromkeys("\xa0—–…➡\ufe0f", " ")
+_OTHER = re.compile("|".join(map(re.escape, _OTHER_MARKS)))
+_ZEROS = re.compile(b"00+")
 
 #: Links need at most LINK_BITS between the SimHashes and this similarity of the texts (1 less edits over the longer length).
 LINK_BITS, SIMILARITY = 16, 0.8
@@ -184,12 +186,11 @@ MAX_ROUNDS = 60
 
 def segments(text: str) -> list[str]:
     """Sentences and lines in small letters, without punctuation, with 0 for every number."""
-    out = []
-    for part in _ZEROS.sub("0", text.lower().translate(_TABLE)).split("\n"):
-        words = part.split()
-        if len(words) >= 2:
-            out.append(" ".join(words))
-    return out
+    low = text.lower()
+    if not low.isascii():
+        low = _OTHER.sub(lambda m: _OTHER_MARKS[m[0]], low)
+    plain = _ZEROS.sub(b"0", low.encode("utf-8", "surrogatepass").translate(_TABLE, b"'")).decode("utf-8", "surrogatepass")
+    return [" ".join(words) for part in plain.split("\n") if len(words := part.split()) >= 2]
 
 
 def letter_simhash(texts: list[str]) -> np.ndarray:
@@ -228,6 +229,7 @@ def _is_filler(words: list[str]) -> bool:
     return usual >= 2 or len(words) >= 6 and len(set(words)) < len(words) or len(words) >= 10
 
 
+@lru_cache(maxsize=200_000)
 def _is_mash(word: str) -> bool:
     return word in _MASH or len(word) >= 4 and any(word in row or word[::-1] in row for row in _KEYS)
 
@@ -243,8 +245,10 @@ def is_notice(words: list[str]) -> bool:
             return True
     elif " ".join(words) in _REASONS:
         return True
-    typed = [w for w in words if _is_mash(w)]
-    others = [w for w in words if not (w in _COVERED or w[0] == "0" or w in typed or typed and w in _DRAWN)]
+    others = [w for w in words if w not in _COVERED and w[0] != "0"]
+    typed = [w for w in words if w in _MASH] + [w for w in others if _is_mash(w)]
+    if typed:
+        others = [w for w in others if w not in typed and w not in _DRAWN]
     if len(others) > OTHER_SHARE * len(words) or not _PERSONS.isdisjoint(words):
         return False
     if not others and len(typed) >= 2 and len(typed) >= 0.4 * sum(w[0] != "0" for w in words):
