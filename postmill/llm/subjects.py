@@ -45,7 +45,8 @@ SQUARED = 1
 SEED = 11
 
 _SENTENCES = re.compile(r"(?<=[.!?…।])\s+|[\n\r]+")
-_WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[ऀ-ॿ]+|[,;:()\[\]\"“”—–]")
+#: Words, marks over which no pair of words goes, and ends of sentences or lines.
+_TOKENS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[ऀ-ॿ]+|[,;:()\[\]\"“”—–]|[.!?…।](?=\s)|[\n\r]")
 #: Comparisons: what is only likened to something isn't the subject (fixed values).
 _FIGURE = re.compile(
     r"\b(?:felt|feels?|feeling|looked|looks|sounded|sounds|smelled|seemed) like\b|\bas if\b|\bas though\b|\bfühlte? sich (?:\w+ )?wie\b|"
@@ -54,17 +55,35 @@ _FIGURE = re.compile(
 )
 #: One of these is in every comparison.
 _FIGURE_SIGNS = (" like", "as if", "as though", "fühlt", " como", "comme si", "parecía un", "jais", "metaphor")
-_hashes: dict[str, int] = {}
+_MARK, _END = 0, 1
 
 
-def _hashed(word: str) -> int:
-    """Hash of a word; 0 for a mark between words, over which no pair of neighbours goes."""
-    known = _hashes.get(word)
-    if known is None:
-        if len(_hashes) > 300_000:
-            _hashes.clear()
-        known = _hashes[word] = zlib.crc32(word.encode("utf-8", "replace")) | 1 if word[0].isalpha() or word[0] > "ऀ" else 0
-    return known
+class _Tokens:
+    """Numbers of tokens, and of each number its hash as it stands and in small letters (0 for a mark, 1 for an end), and whether it is in capitals."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.hashes: list[tuple[int, int, bool]] = []
+        self._table = np.zeros((0, 3), np.int64)
+
+    def table(self) -> np.ndarray:
+        if len(self._table) < len(self.hashes):
+            self._table = np.vstack([self._table, np.array(self.hashes[len(self._table) :], np.int64)])
+        return self._table
+
+    def number(self, token: str) -> int:
+        first = token[0]
+        if first.isalpha() or first > "ऀ" and token not in "—–“”…":
+            low = token.lower()
+            entry = *(zlib.crc32(t.encode("utf-8", "replace")) | 2 for t in (token, low)), token == token.upper()
+        else:
+            entry = (_END, _END, False) if first in ".!?…।\n\r" else (_MARK, _MARK, False)
+        known = self.numbers[token] = len(self.hashes)
+        self.hashes.append(entry)
+        return known
+
+
+_tokens = _Tokens()
 
 
 @dataclass
@@ -83,31 +102,40 @@ def encoded(ids: list[int], langs: list[str], texts: list[str | None]) -> Passag
 
     A word with a capital inside its sentence stays apart from the small one, unless the sentence is in capitals.
     """
+    global _tokens
+    if len(_tokens.hashes) > 300_000:
+        _tokens = _Tokens()
+    get, number = _tokens.numbers.get, _tokens.number
     flat: list[int] = []
-    at: list[int] = []
-    owner: list[int] = []
-    for row, text in enumerate(texts):
-        if not text:
-            continue
-        low = text.lower()
-        likened = any(sign in low for sign in _FIGURE_SIGNS) and _FIGURE.search(text) is not None
-        for sentence in _SENTENCES.split(text):
-            if not sentence or likened and _FIGURE.search(sentence):
-                continue
-            words = _WORDS.findall(sentence.lower() if sentence.isupper() else sentence)
-            if not words:
-                continue
-            words[0] = words[0].lower()
-            at.append(len(flat))
-            owner.append(row)
-            flat += map(_hashed, words)
-            flat.append(0)
-    words = np.array(flat, np.uint64)
-    starts = np.array(at, np.int64)
-    passage = np.zeros(len(words), np.int64)
-    passage[starts[1:]] = 1
-    passage = np.cumsum(passage)
-    pairs = np.flatnonzero((words[:-1] > 0) & (words[1:] > 0)) if len(words) else np.zeros(0, np.int64)
+    lengths: list[int] = []
+    for text in texts:
+        before = len(flat)
+        if text:
+            low = text.lower()
+            if any(sign in low for sign in _FIGURE_SIGNS) and _FIGURE.search(text):
+                text = "\n".join(s for s in _SENTENCES.split(text) if not _FIGURE.search(s))
+            flat += [known if (known := get(t)) is not None else number(t) for t in _TOKENS.findall(text)]
+        lengths.append(len(flat) - before)
+    document = np.repeat(np.arange(len(texts)), lengths)
+    table = _tokens.table()
+    stands, small, capital = table[:, 0], table[:, 1], table[:, 2] > 0
+    token = np.array(flat, np.int64)
+    words = stands[token]
+    # A passage begins with a document and after each end.
+    begins = np.ones(len(token), bool)
+    begins[1:] = (document[1:] != document[:-1]) | (words[:-1] == _END)
+    passage = np.cumsum(begins) - 1
+    starts = np.flatnonzero(begins)
+    is_word = words > _END
+    # The first word of a passage counts in small letters, and so do all where every word is in capitals.
+    if len(token):
+        nth = np.cumsum(is_word)
+        first = is_word & (nth == (nth - is_word)[starts][passage] + 1)
+        shout = np.bincount(passage, weights=is_word & ~capital[token], minlength=len(starts)) == 0
+        words = np.where(first | shout[passage], small[token], words)
+    words = np.where(is_word, words, 0).astype(np.uint64)
+    owner = document[starts]
+    pairs = np.flatnonzero((words[:-1] > 0) & (words[1:] > 0) & (passage[1:] == passage[:-1])) if len(words) else np.zeros(0, np.int64)
     joint = words[pairs] * np.uint64(0x9E3779B1) + words[pairs + 1] * np.uint64(0x85EBCA77) if len(pairs) else np.zeros(0, np.uint64)
     said = words > 0
     term = np.concatenate([words[said], joint ^ (joint >> np.uint64(29))]) & np.uint64(0x7FFFFFFF)
@@ -115,7 +143,7 @@ def encoded(ids: list[int], langs: list[str], texts: list[str | None]) -> Passag
     passage = (key >> np.uint64(31)).astype(np.int64)
     sizes = np.bincount(passage, minlength=len(starts))
     full = sizes > 0
-    return Passages(np.array(ids, np.int64), langs, (key & np.uint64(0x7FFFFFFF)).astype(np.int32), sizes[full], np.array(owner, np.int64)[full])
+    return Passages(np.array(ids, np.int64), langs, (key & np.uint64(0x7FFFFFFF)).astype(np.int32), sizes[full], owner[full])
 
 
 def _different(key: np.ndarray) -> np.ndarray:
@@ -430,26 +458,32 @@ class Corpus:
         return Corpus([known_rows(b, index, langs) for b in self.batches], self.sizes)
 
 
-_STORED = "id bigint, lang string, terms array<int>, sizes array<int>"
+#: A row for each document; the lists are strings of four-byte numbers, which cross to Python as they are.
+_STORED = "id bigint, lang string, terms binary, sizes binary"
+
+
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    ends = np.append(0, np.cumsum(counts) * 4).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.astype(np.int32).tobytes())])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.int32), np.diff(ends) // 4
 
 
 def _stored(batch: Passages) -> pa.RecordBatch:
-    """A row for each document."""
     passages = np.bincount(batch.owner, minlength=len(batch.ids))
     terms = np.bincount(batch.owner, weights=batch.sizes, minlength=len(batch.ids)).astype(np.int64)
-    ends = lambda n: pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(batch.ids), pa.array(batch.langs, pa.string()), pa.ListArray.from_arrays(ends(terms), pa.array(batch.terms.astype(np.int32))),
-         pa.ListArray.from_arrays(ends(passages), pa.array(batch.sizes.astype(np.int32)))],
-        names=["id", "lang", "terms", "sizes"],
-    )
+    columns = [pa.array(batch.ids), pa.array(batch.langs, pa.string()), _packed(batch.terms, terms), _packed(batch.sizes, passages)]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "lang", "terms", "sizes"])
 
 
 def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[Passages]:
     for batch in batches:
         if batch.num_rows:
-            terms, sizes = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
-            passages = np.diff(batch.column(3).offsets.to_numpy())
+            (terms, _), (sizes, passages) = _unpacked(batch.column(2)), _unpacked(batch.column(3))
             yield Passages(batch.column(0).to_numpy(), batch.column(1).to_pylist(), terms, sizes.astype(np.int64), np.repeat(np.arange(batch.num_rows), passages))
 
 
