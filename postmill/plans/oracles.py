@@ -146,6 +146,64 @@ laid AS (SELECT *, {_inline("body")} AS flat, len([x for x in string_split(body,
 told_lines AS (SELECT *, len([x for x in {_split("flat", ".!?")} if {_strip("x")} <> '']) AS n_sentences,
     len([x for x in {_split("flat", ",:;")} if {_strip("x")} <> '']) AS n_clauses FROM laid)
 """
+# The prompts, line by line, with the default controls of the briefs.
+_HASHTAG_RULE = (
+    "'- Hashtag rule: ' || CASE n WHEN 0 THEN 'Do not include hashtags.' ELSE 'Include exactly ' || n || ' relevant ' || "
+    "CASE n WHEN 1 THEN 'hashtag' ELSE 'hashtags' END || ' on the final line only, separated by spaces.' END"
+)
+_LAYOUT_RULE = (
+    "'- Use compact LinkedIn-ready line breaks so the post reads as about ' || CASE w_length WHEN 'Short' THEN '3 to 5' WHEN 'Medium' THEN '6 to 10' ELSE '11 to 15' END || "
+    "' visible lines. Do not compress the full post into one continuous paragraph, and do not add blank spacer lines between every sentence. "
+    'Because the response is JSON, encode those line breaks inside each string as "\\n", not as literal raw line breaks.\''
+)
+_SIZE = "'2) Length: ' || w_length || ' (' || CASE w_length WHEN 'Short' THEN '1 to 5 lines' WHEN 'Medium' THEN '6 to 10 lines' ELSE '11 to 15 lines' END || ')'"
+
+
+def _said(*lines: str) -> list[str]:
+    return ["'" + line.replace("'", "''") + "'" for line in lines]
+
+
+def _prompt(head: list[str], script: str, title: list[str], form: list[str]) -> str:
+    lines = [
+        *_said(*head), "'1) Topic: ' || w_tag", _SIZE, "'3) Language: ' || w_language",
+        *_said("If Language is Hinglish then it means it is a mix of Hindi and English.", script, "4) Style Controls:", "- Tone: Professional", "- Audience: General"),
+        *_said("- Goal: Match examples", "- Voice: Match examples", "- CTA Strength: None"), "'- Hashtag Count: ' || n",
+        *_said("- Follow these controls explicitly while keeping the post natural and readable.", "- Goal rule: Match the overall intent and framing of the few-shot examples."),
+        *_said("- Voice rule: Follow the dominant voice in the provided examples.", "- CTA rule: Do not include an explicit call to action."),
+        _HASHTAG_RULE, "examples", *_said(*title), _LAYOUT_RULE,
+        *_said("- Keep one short idea per line, with no empty line between every sentence.", "- Do not use markdown bullets unless they genuinely improve readability."),
+        *_said("- Use 1-2 relevant professional emojis only when they feel natural; do not use emojis on every line.", "- If hashtags are included, place them alone on the final line only."),
+        *_said(*form),
+    ]
+    return _strip("concat_ws(chr(10), " + ", ".join(lines) + ")")
+
+
+_POST_PROMPT = _prompt(
+    ["Generate a LinkedIn post using the below information. No preamble.", ""], "The script for the generated post should always be English.", ["", "6) Output Format:"], []
+)
+_VARIANTS_PROMPT = _prompt(
+    ["Generate exactly 3 distinct LinkedIn post variants using the below information.", "Return only a valid JSON object. No preamble.", ""],
+    "The script for every generated post should always be English.",
+    ["6) Return Format:"],
+    [
+        '- Return only a JSON object with exactly one key: "variants".',
+        '- The "variants" value must be an array of exactly 3 non-empty strings.',
+        "- Keep the selected tone, audience, goal, voice, CTA, and hashtag rules identical across all variants.",
+        "- Variant 1 must use an insight-led hook.",
+        "- Variant 2 must use a story/problem-solution hook.",
+        "- Variant 3 must use an action/takeaway-led hook.",
+        "- Make the variants meaningfully different in opening structure and angle, not just minor rewrites.",
+    ],
+)
+_EXAMPLES = f"""
+shown AS (SELECT brief_id, position, {_strip("text")} AS t, {_choice(LABELS, "tier")} AS label FROM placed WHERE position <= 5),
+told_examples AS (SELECT brief_id, '5) Use the writing style as per the following examples.' || chr(10) || string_agg(chr(10) || 'Example ' || nth || ' (' || label || ')' || chr(10) || t, chr(10) ORDER BY nth) AS examples
+    FROM (SELECT *, row_number() OVER (PARTITION BY brief_id ORDER BY position) AS nth FROM shown WHERE t <> '') GROUP BY brief_id),
+asked AS (SELECT b.*, b.brief_id % 4 AS n, examples FROM briefs b LEFT JOIN told_examples USING (brief_id)),
+variants AS (SELECT brief_id, k AS position, 'Variant ' || k || ' of ' || (length({_VARIANTS_PROMPT}) % 1000) || ', with a first sentence.' || chr(10) || 'And a second one.' || chr(10) || '#Tag' || k AS text
+    FROM asked CROSS JOIN (SELECT unnest([1, 2, 3]) AS k))
+"""
+_ANSWERED = _strip("replace(replace(coalesce(text, ''), chr(92), ''''), chr(34), '''')")
 _BASE_ONLY = _CLEAN.split("parts AS")[0].strip().rstrip(",")
 
 SQL: dict[str, str] = {
@@ -194,6 +252,14 @@ SQL: dict[str, str] = {
     f"coalesce({_INTEGER}, 0) AS coerced FROM raw_posts",
     "marker_counts": "SELECT idx, CAST(" + " + ".join(f"(length(t) - length(replace(t, '{m}', ''))) / {len(m)}" for m in ("Ã", "Â", "â€", "ðŸ")) + " AS bigint) AS n FROM (SELECT idx, coalesce(text, '') AS t FROM raw_posts)",
     "page_posts": "SELECT author_id // 4 AS idx, 'Author number ' || author_id || ' writes about work and people every week' AS text, author_id % 90 + 1 AS engagement FROM authors WHERE author_id % 4 < 3",
+    "post_prompts": _with(_CLEAN, BRIEFS, _TIERED, _EXAMPLES) + f"SELECT brief_id, {_POST_PROMPT} AS prompt FROM asked",
+    "variants_prompts": _with(_CLEAN, BRIEFS, _TIERED, _EXAMPLES) + f"SELECT brief_id, {_VARIANTS_PROMPT} AS prompt FROM asked",
+    "generated_variants": _with(_CLEAN, BRIEFS, _TIERED, _EXAMPLES) + "SELECT brief_id, position, text, '' AS error FROM variants",
+    "variant_cards": _with(_CLEAN, BRIEFS, _TIERED, _EXAMPLES)
+    + "SELECT brief_id, position, a AS angle_label, 'Variant ' || position AS card_label, text, 3 AS estimated_lines, '3 lines' AS line_label, 1 AS hashtag_count, '1 hashtag' AS hashtag_label, "
+    "'Copy' AS copy_label, 'Copied' AS copy_feedback, 'variant-' || position || '-' || regexp_replace(lower(a), '[^a-z0-9]+', '-', 'g') AS copy_target "
+    "FROM (SELECT *, CASE position WHEN 1 THEN 'Insight-led hook' WHEN 2 THEN 'Story/problem-solution hook' ELSE 'Action/takeaway-led hook' END AS a FROM variants)",
+    "answer_parsing": f"SELECT idx, nullif(t, '') AS first, CASE WHEN t = '' THEN 'A variant is empty.' ELSE '' END AS error FROM (SELECT idx, {_ANSWERED} AS t FROM processed_posts)",
     "public_ids": "SELECT author_id, public_id FROM authors WHERE public_id IS NOT NULL AND regexp_full_match(public_id, '[A-Za-z0-9_-]+')",
     "latest_checkpoints": "SELECT idx, post.engagement AS engagement, post.line_count AS line_count, post.language AS language, length(post.text) AS n_chars "
     "FROM (SELECT idx, post, row_number() OVER (PARTITION BY idx ORDER BY written_at DESC) AS nth FROM checkpoints WHERE idx IS NOT NULL AND written_at IS NOT NULL) WHERE nth = 1",

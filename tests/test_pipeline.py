@@ -229,3 +229,120 @@ def test_stream(spark, tmp_path):
 
 def test_every_query_has_a_name_and_runs_lazily():
     assert len(plans.queries()) >= 40 and set(plans.oracle_sql()) <= set(plans.queries())
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranking_shuffles_numbers_and_no_texts(spark):
+    posts = [(i, f"{RICH}\nNumber {i % 40}.", i % 7, i % 12, "English", ["A", "B"]) for i in range(120)]
+    from postmill.session import cut_lineage
+
+    silver = cut_lineage(quality.silver(spark.createDataFrame(posts, POST)))
+    frame = spark.createDataFrame([(1, "Short", "English", "A")], "brief_id bigint, length string, language string, tag string")
+    found = retrieval.prompt_examples(silver, frame)
+    lines = plan_of(found).split("\n")
+    assert sum("WindowGroupLimit" in line for line in lines) >= 4  # cut before and after each shuffle
+    plan = plan_of(retrieval.filtered_posts(silver, "Short", "English", "A"))
+    assert "SinglePartition" not in plan and "Window" not in plan  # sorted by ranges, and numbered from there
+    ranked = retrieval.filtered_posts(silver, "Short", "English", "A").orderBy("rank").collect()
+    worth = [(r.score, r.engagement, r.length, -r.first_idx) for r in ranked]
+    assert [r["rank"] for r in ranked] == list(range(1, len(ranked) + 1)) and worth == sorted(worth, reverse=True) and len(ranked) > 10
+
+
+def test_numbers_over_many_partitions(spark):
+    frame = spark.range(0, 1000, 1, 7).select(((F.col("id") * 37) % 1009).alias("v"))
+    found = retrieval.numbered(frame, [F.col("v").desc()]).collect()
+    assert [r["rank"] for r in sorted(found, key=lambda r: -r.v)] == list(range(1, 1001))
+    assert retrieval.numbered(frame.where("v < 0"), [F.col("v")]).count() == 0
+
+
+def test_dashboard_reads_the_posts_once(spark):
+    posts = [(1, RICH, 1, 1, "English", ["A", "B"]), (2, RICH + " more", 1, 1, "Hinglish", ["B", " "]), (3, "thin", 1, 1, " ", ["C"]), (4, None, 1, 1, None, None)]
+    found = retrieval.dashboard_counts(quality.silver(spark.createDataFrame(posts, POST)))
+    assert tuple(found.first()) == (4, 2, "English,Hinglish") and plan_of(found).count("ArrowEvalPython") == 1
+    assert tuple(retrieval.dashboard_counts(quality.silver(spark.createDataFrame([], POST))).first()) == (0, 0, "")
+
+
+def test_every_card_of_a_page(spark):
+    say = lambda k: f"Card number {k} of this page says more than a few words."
+    page = f"""<html><body><nav><p>Menu of the page with many words in it</p></nav><main>
+      <article><div class="feed-shared-text">{say(1)}<br>And a second line.</div><button aria-label="12 reactions">ok</button></article>
+      <div class="occludable-update"><article><p>{say(2)}</p><button>3</button></article></div>
+      <div data-urn=""><p>{say(3)}</p></div><div data-urn="u"><span class="break-words">{say(4)}</span><p>7 likes</p></div>
+      <article><p>short</p></article><div class="sidebar"><p>{say(5)}</p></div></main></body></html>"""
+    pages = spark.createDataFrame([(1, page), (2, page), (3, None), (4, ""), (5, "<article>"), (6, "<p>no card at all on this page</p>")], "idx bigint, html string").withColumn("card", F.lit(1)).withColumn("at", F.lit(2))
+    found = {r.text: (r.idx, r.engagement) for r in readers.posts_of_pages(pages).collect()}
+    assert found == {say(1) + "\nAnd a second line.": (1, 12), say(2): (1, 3), say(4): (1, 7)}
+
+
+def test_json_lines(spark, tmp_path):
+    lines = [json.dumps({"idx": k, "text": f"post {k}", "engagement": "1,200" if k else None, "more": [1]}) for k in range(50)]
+    (tmp_path / "posts.jsonl").write_text("\n".join([*lines, "", "  "]))
+    found = readers.read_raw_lines(spark, str(tmp_path / "posts.jsonl")).orderBy("idx").collect()
+    assert [r.idx for r in found] == list(range(50)) and found[3].text == "post 3"
+    for bad in ("[1]", "no json", '{"text": "a"}', '{"idx": 1, "text": " "}'):
+        (tmp_path / "bad.jsonl").write_text("\n".join([lines[0], bad]))
+        with pytest.raises(Exception):  # noqa: B017
+            readers.read_raw_lines(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_answers_outlive_a_batch_that_fails(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame([(0, RICH, 5), (1, RICH + "\nAn ending of its own that makes it another post altogether.", 1)], "idx bigint, text string, engagement bigint")
+    progress = str(tmp_path / "answers")
+    with monkeypatch.context() as patched:
+        patched.setattr(enrich, "resolve_duplicates", lambda ranked: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            enrich.process_posts(frame, clients(), progress=progress)
+    assert spark.read.parquet(progress).count() == 2
+    silent = lambda: (lambda prompt: '{"job hunting": "Work"}' if "unify" in prompt else 1 / 0)
+    done = enrich.process_posts(frame, silent, progress=progress)
+    assert {r.idx: r.tags for r in done.posts.collect()} == {0: ["Work", "AI"], 1: ["Work", "AI"]} and done.failures.count() == 0
+
+
+def test_blank_posts_do_not_stop_a_stream(spark, tmp_path):
+    schema = "idx bigint, text string, engagement bigint"
+    rows = [(0, RICH, 1), (1, "​ ", 1), (2, None, 1), (3, "", 1), (None, RICH, 1)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        incremental.enrich_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), clients()).awaitTermination()
+    assert [r.idx for r in spark.read.parquet(str(tmp_path / "out/posts")).collect()] == [0]
+    failed = {(r.idx, r.stage, r.reason) for r in spark.read.parquet(str(tmp_path / "out/failures")).collect()}
+    assert failed == {(k, "quality_filter", "empty_text") for k in (1, 2, 3)}
+
+
+def test_quality_counts_and_first_copies_of_a_stream(spark, tmp_path):
+    rows = [(k, text, f"2024-01-0{day} 00:00:00") for k, (text, day) in enumerate([(RICH, 1), (RICH.upper(), 1), ("thin", 1), (RICH, 2), (None, 3)])]
+    frame = spark.createDataFrame(rows, "idx bigint, text string, at string").select("idx", "text", F.col("at").cast("timestamp").alias("scraped_at"))
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    for name, made, mode in (("tally", incremental.quality_stream(stream()), "complete"), ("copies", incremental.first_copies(stream()), "append")):
+        made.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    tally = {(str(r.window.start)[:10], r.reason): r.n_posts for r in spark.table("tally").collect()}
+    assert tally == {("2024-01-01", "ok"): 2, ("2024-01-01", "thin_post"): 1, ("2024-01-02", "ok"): 1, ("2024-01-03", "empty_text"): 1}
+    assert spark.table("copies").count() == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from postmill import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                return Context
+
+        class getCheckpointDir:  # noqa: N801
+            isDefined = staticmethod(lambda: False)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: None)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.ensure_checkpoint_dir(Session)
