@@ -343,21 +343,27 @@ def repair(text: str | None) -> tuple[str | None, list[str]]:
     return (current if labels else text), labels
 
 
+_OPEN_TO_DOUBT = r"[^\x00-\x7F]|&[A-Za-z]+;|&#"
+
+
 def repaired_table(df: DataFrame, id_col: str = "idx", text_col: str = "text") -> DataFrame:
     """``id, text, encodings``: each row's text, restored where it was damaged, and the labels of its damage.
 
     A label is the wrong encoding UTF-8 was read as, ``true>wrong`` for one-byte encodings, ``utf-16`` for swapped
-    bytes, and ``lost`` where characters can't be recovered. Clean, null and empty texts have no label.
+    bytes, and ``lost`` where characters can't be recovered. Clean, null and empty texts have no label. Texts of ASCII
+    without entities are handed to Python as nulls.
     """
     ship_package(df.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [repair(t) if isinstance(t, str) else (None, []) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "text": [d[0] for d in done], "encodings": [d[1] for d in done]})
+    @F.pandas_udf("text string, encodings array<string>")
+    def repaired(texts: pd.Series) -> pd.DataFrame:
+        done = [repair(t) if isinstance(t, str) else (None, []) for t in texts]
+        return pd.DataFrame({"text": [d[0] for d in done], "encodings": [d[1] for d in done]})
 
+    doubtful = F.when(F.col("text").rlike(_OPEN_TO_DOUBT), F.col("text"))
     chosen = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInPandas(run, "id bigint, text string, encodings array<string>")
+    done = chosen.select("id", "text", F.inline(F.array(repaired(doubtful))).alias("restored", "encodings"))
+    return done.select("id", F.coalesce("restored", "text").alias("text"), "encodings")
 
 
 def damaged_ids(df: DataFrame, id_col: str = "idx", text_col: str = "text") -> DataFrame:
@@ -369,5 +375,4 @@ def damaged_ids(df: DataFrame, id_col: str = "idx", text_col: str = "text") -> D
         return texts.map(lambda t: is_damaged(unescaped(t))).astype(bool)
 
     chosen = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    open_to_doubt = F.col("text").rlike(r"[^\x00-\x7F]|&[A-Za-z]+;|&#")
-    return chosen.where(F.col("text").isNotNull() & open_to_doubt).where(damaged("text")).select("id")
+    return chosen.where(F.col("text").isNotNull() & F.col("text").rlike(_OPEN_TO_DOUBT)).where(damaged("text")).select("id")
