@@ -88,8 +88,9 @@ pieces AS (
 near AS (
   SELECT t, r, errors FROM (
     SELECT t, r, {_ERRORS} AS errors
-    FROM (SELECT DISTINCT p.t, s.r FROM pieces p
-          JOIN segments s ON p.n = s.n AND p.i = s.i AND p.piece = substr(s.r, s.start + 1, s.stop - s.start)))
+    FROM (SELECT /*+ REPARTITION({{tasks}}, t, r) */ t, r
+          FROM (SELECT DISTINCT p.t, s.r FROM pieces p
+                JOIN segments s ON p.n = s.n AND p.i = s.i AND p.piece = substr(s.r, s.start + 1, s.stop - s.start))))
   WHERE errors IS NOT NULL
 ),
 cuts AS (
@@ -116,8 +117,11 @@ def value_mapping(values: DataFrame, refs: DataFrame) -> DataFrame:
     no letters or digits have no entry.
     """
     args = {k: v for k, v in _ARGS.items() if k != "blank"}
-    return values.sparkSession.sql(
-        _MAPPING, args=args, values=values.select("value"), refs=refs.select("canon_id", "canon_tag", "aliases")
+    spark = values.sparkSession
+    # What a pair costs is not told by its bytes, so how many tasks compare them is said rather than left to be coalesced.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return spark.sql(
+        _MAPPING.replace("{tasks}", str(tasks)), args=args, values=values.select("value"), refs=refs.select("canon_id", "canon_tag", "aliases")
     )
 
 

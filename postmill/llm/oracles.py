@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from postmill.llm.canonical import CUT_LEAST, CUT_SHARE, DECORATION, ONE_ERROR, TWO_ERRORS
+# The constants of problem 5 are written down here once more, so that a wrong one of the engine doesn't pass for right.
+DECORATION = "matters|today|tips|community|basics|101|(?:19|20)[0-9]{2}"
+ONE_ERROR, TWO_ERRORS, CUT_SHARE, CUT_LEAST = 5, 8, 0.5, 5
 
 _BLANK = r"^[\s\p{Z}\p{Cf}]*$"
 
@@ -54,6 +56,10 @@ def _with(*parts: str, recursive: bool = False) -> str:
 
 SQL = {
     "p3_found": _with(_PAIRS) + "SELECT idx_a, idx_b FROM pairs",
+    "p3_groups": _with(_PAIRS, _GROUPS, recursive=True).rstrip()
+    + ",\nclasses AS (SELECT idx, min(idx) OVER (PARTITION BY w) AS rep FROM long), reps AS (SELECT DISTINCT rep FROM classes),\n"
+    "degrees AS (SELECT x AS rep, count(*) AS n FROM linked WHERE x IN (SELECT rep FROM reps) AND y IN (SELECT rep FROM reps) GROUP BY x)\n"
+    "SELECT c.idx, c.rep, coalesce(g.group_idx, c.rep) AS group_id, coalesce(d.n, 0) AS n_links FROM classes c LEFT JOIN groups g ON c.idx = g.idx LEFT JOIN degrees d ON c.rep = d.rep",
     "p4_found": _with(_PAIRS, _GROUPS, _RATED, recursive=True)
     + "SELECT group_idx, first(idx ORDER BY size DESC, idx) AS text_idx, first(idx ORDER BY engagement DESC, idx) FILTER (WHERE engagement IS NOT NULL) AS engagement_idx, "
     "first(idx ORDER BY n_tags DESC, idx) AS tags_idx FROM rated GROUP BY group_idx",
