@@ -86,11 +86,11 @@ pieces AS (
   WHERE p >= 0 AND p + width <= length(t)
 ),
 near AS (
-  SELECT t, r, errors FROM (
-    SELECT t, r, {_ERRORS} AS errors
-    FROM (SELECT /*+ REPARTITION({{tasks}}, t, r) */ t, r
-          FROM (SELECT DISTINCT p.t, s.r FROM pieces p
-                JOIN segments s ON p.n = s.n AND p.i = s.i AND p.piece = substr(s.r, s.start + 1, s.stop - s.start))))
+  SELECT t, r, errors
+  FROM (SELECT /*+ REPARTITION({{tasks}}, t, r) */ t, r
+        FROM (SELECT DISTINCT p.t, s.r FROM pieces p
+              JOIN segments s ON p.n = s.n AND p.i = s.i AND p.piece = substr(s.r, s.start + 1, s.stop - s.start)))
+  LATERAL VIEW explode(array({_ERRORS})) told AS errors
   WHERE errors IS NOT NULL
 ),
 cuts AS (
@@ -118,7 +118,8 @@ def value_mapping(values: DataFrame, refs: DataFrame) -> DataFrame:
     """
     args = {k: v for k, v in _ARGS.items() if k != "blank"}
     spark = values.sparkSession
-    # What a pair costs is not told by its bytes, so how many tasks compare them is said rather than left to be coalesced.
+    # What a pair costs is not told by its bytes, so how many tasks compare them is said rather than left to be coalesced;
+    # above the generator no filter is moved, which would compare them before they are dealt out.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     return spark.sql(
         _MAPPING.replace("{tasks}", str(tasks)), args=args, values=values.select("value"), refs=refs.select("canon_id", "canon_tag", "aliases")
