@@ -126,9 +126,9 @@ _FIELD_WORDS = (
     r"(?:name|company|city|topic|role|title|link|date|number|email|phone|address|position|product|location|author|url|image|text|quote|fname|lname|user)(?: here)?"
 )
 _FIELDS = re.compile(
-    r"\{\{[^{}\n]{1,40}\}\}|\[\[[^\[\]\n]{1,40}\]\]|<<[^<>\n]{1,40}>>|\{%[^{}\n]{1,40}%\}|[$#]\{[^{}\n]{1,40}\}|\{\d{1,2}\}|\*\|[^|\n]{1,40}\|\*|"
-    r"(?<!\w)__[A-Za-z][A-Za-z_]{1,30}__(?!\w)|(?<![\w%])%[A-Z][A-Z_]{2,30}%(?!\w)|(?<![\w%])%(?:\(\w+\))?[sd](?!\w)|\[(?:insert|your|enter|add) [^\[\]\n]{1,40}\]|"
-    r"<(?:insert|your|enter|add) [^<>\n]{1,40}>|\[object object\]|\bundefined undefined\b|\bnull null\b|\bNaN NaN\b|"
+    r"\{\{[^{}\n]+\}\}|\[\[[^\[\]\n]+\]\]|<<[^<>\n]+>>|\{%[^{}\n]+%\}|[$#]\{[^{}\n]+\}|\{\d{1,2}\}|\*\|[^|\n]+\|\*|"
+    r"(?<!\w)__[A-Za-z][A-Za-z_]+__(?!\w)|(?<![\w%])%[A-Z][A-Z_]{2,30}%(?!\w)|(?<![\w%])%(?:\(\w+\))?[sd](?!\w)|\[(?:insert|your|enter|add) [^\[\]\n]+\]|"
+    r"<(?:insert|your|enter|add) [^<>\n]+>|\[object object\]|\bundefined undefined\b|\bnull null\b|\bNaN NaN\b|"
     r"(?<!\w)(?:TODO|FIXME|TBD)\s?:|(?<!\w)XX[./-]XX[./-]XX(?:XX)?(?!\w)|[\[{<]"
     + _FIELD_WORDS
     + r"[\]}>]",
