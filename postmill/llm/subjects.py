@@ -36,7 +36,7 @@ AGREEMENT = 0.45
 #: A term is discriminative from this share of a subject, and a passage is about a subject from this share of its leaves and this weight of terms.
 TERM_SHARE, PASSAGE_SHARE, PASSAGE_WEIGHT = 0.5, 0.6, 1.8
 #: Cells that documents are gathered in, each around a document chosen by a hash of the id, and places that the terms of their vectors are folded to for the clustering.
-CELLS, CELL_PLACES = 2048, 1 << 13
+CELLS, CELL_PLACES = 2048, 1 << 12
 #: Leaves at most, and the least share of the documents of one.
 LEAVES, LEAST_LEAF = 200, 0.0005
 SPLIT_ROUNDS, RESTARTS = 8, 4
@@ -592,16 +592,17 @@ def _cluster(model: SubjectModel, corpus: Corpus, strong: np.ndarray, share: np.
     x = np.zeros((n_cells, min(CELL_PLACES, n_terms)), np.float32)
     np.add.at(x, (of, row % x.shape[1]), value)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    leaf = np.zeros(n_cells, np.int64)
-    leaf[mass > 0] = bisect(x[mass > 0], mass[mass > 0].astype(np.float32), LEAVES)
+    leaf = bisect(x, np.maximum(mass, 1e-9).astype(np.float32), LEAVES).astype(np.int64)
+    del x
     leaves = int(leaf.max()) + 1
-    centre = np.bincount(row * leaves + leaf[of], weights=value, minlength=n_terms * leaves).reshape(n_terms, leaves)
+    centre = np.bincount(row * leaves + leaf[of], weights=value, minlength=n_terms * leaves).reshape(n_terms, leaves).astype(np.float32)
     centre /= np.maximum(np.linalg.norm(centre, axis=0), 1e-9)
     model.leaves = (centre * model.weights[:, None]).astype(np.float32)
     # What stands out in a leaf: terms that weigh more in it than in all documents.
     usual = np.bincount(row, weights=value, minlength=n_terms)
-    lift = np.maximum(centre - (usual / max(np.linalg.norm(usual), 1e-9))[:, None], 0)
-    model.labels = _rows(_rows((lift**2).T @ share) ** 2).astype(np.float32)
+    centre -= (usual / max(np.linalg.norm(usual), 1e-9)).astype(np.float32)[:, None]
+    np.maximum(centre, 0, out=centre)
+    model.labels = _rows(_rows((centre**2).T @ share.astype(np.float32)) ** 2).astype(np.float32)
 
 
 def fit_model(documents: list[tuple[int, str]], labels: list[tuple[int, str]], subjects: list[str]) -> SubjectModel:
