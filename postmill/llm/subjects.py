@@ -23,9 +23,9 @@ from postmill.session import ship_package, written
 
 #: Label rows that the fit takes at most, chosen by a hash of the id.
 LABEL_ROWS = 4000
-#: Terms are hashed to this many places in all languages together.
-PLACES = 1 << 21
-#: What an index has for places without a term, and for terms that tell the language only.
+#: Counts of different terms that a task holds at most before it gives them away.
+HELD_COUNTS = 4_000_000
+#: What an index has for terms it doesn't know, and for terms that tell the language only.
 ABSENT, WEAK = -1, -2
 #: Terms in fewer passages than this, or in as many as this share of a language's documents or more, speak for nothing.
 LEAST_PASSAGES, MOST_SHARE = 3, 0.2
@@ -40,6 +40,8 @@ CELLS, CELL_PLACES = 2048, 1 << 12
 #: Leaves at most, and the least share of the documents of one.
 LEAVES, LEAST_LEAF = 200, 0.0005
 SPLIT_ROUNDS, RESTARTS = 8, 4
+#: Terms that are compared with all leaves at a time.
+TERM_BLOCK = 20_000
 #: The nearest leaves share a passage by this power of their cosines: the third one, squared so often.
 SQUARED = 1
 SEED = 11
@@ -152,13 +154,56 @@ def _different(key: np.ndarray) -> np.ndarray:
     return key[np.append(True, key[1:] != key[:-1])] if len(key) else key
 
 
+class Index:
+    """Rows of the terms of languages, found by whole keys in a table with room to spare, so that terms never meet however many there are."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        self.keys, self.rows = keys, rows.astype(np.int32)
+        self.bits = max(int(4 * len(keys)).bit_length(), 4)
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._start(keys)
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]
+            missed = self.table[at] != left
+            left, at = left[missed], (at[missed] + 1) & ((1 << self.bits) - 1)
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        return ((mixed * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, terms: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
+        """The row of each term in a language; ABSENT for languages below 0."""
+        if not len(self.keys):
+            return np.full(len(terms), ABSENT, np.int32)
+        keys = term_keys(terms, lang)
+        at = self._start(keys)
+        entry = self.table[at]
+        left = np.flatnonzero((entry >= 0) & (self.keys[entry] != keys))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            entry[left] = self.table[at[left]]
+            left = left[(entry[left] >= 0) & (self.keys[entry[left]] != keys[left])]
+        return np.where(entry >= 0, self.rows[entry], ABSENT)
+
+
+def term_keys(terms: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
+    """One number for a term and its language."""
+    return (np.atleast_1d(np.asarray(lang, np.int64)) << 31) | terms
+
+
+def _no_index() -> Index:
+    return Index(np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
 @dataclass
 class SubjectModel:
-    """Discriminative terms by their place in a language, their weights, the leaves as unit vectors of them, weighted, and the leaves' subjects."""
+    """Discriminative terms by their index, their weights, the leaves as unit vectors of them, weighted, and the leaves' subjects."""
 
     subjects: list[str]
     langs: list[str]
-    index: np.ndarray = field(default_factory=lambda: np.full(PLACES, ABSENT, np.int32))
+    index: Index = field(default_factory=_no_index)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     leaves: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     labels: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
@@ -202,14 +247,7 @@ class SubjectModel:
         return [(self.subjects[s], n) for _, s, n in sorted(self.found(known_rows(encoded([0], [lang], [text]), self.index, self.langs)), key=lambda x: (-x[2], x[1]))]
 
 
-def places(terms: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
-    """The place of each term in a language."""
-    mixed = terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.atleast_1d(np.asarray(lang) + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    mixed ^= mixed >> np.uint64(32)
-    return ((mixed * np.uint64(0x94D049BB133111EB)) >> np.uint64(43)).astype(np.int64)
-
-
-def known_rows(batch: Passages, index: np.ndarray, langs: list[str]) -> Passages:
+def known_rows(batch: Passages, index: Index, langs: list[str]) -> Passages:
     """The same documents with the rows of the index in place of terms, without those it hasn't.
 
     A document without a language counts for the one that has most of its terms.
@@ -222,9 +260,9 @@ def known_rows(batch: Passages, index: np.ndarray, langs: list[str]) -> Passages
     if len(unsaid) and len(langs):
         of = np.isin(document, unsaid)
         terms, who = batch.terms[of], document[of]
-        hits = [np.bincount(who, weights=index[places(terms, k)] != ABSENT, minlength=len(lang)) for k in range(len(langs))]
+        hits = [np.bincount(who, weights=index.of(terms, k) != ABSENT, minlength=len(lang)) for k in range(len(langs))]
         lang[unsaid] = np.array(hits).argmax(axis=0)[unsaid]
-    row = index[places(batch.terms, lang[document])]
+    row = index.of(batch.terms, lang[document])
     return _chosen(batch, row)
 
 
@@ -243,29 +281,27 @@ Pass = Callable[[Iterator[Passages]], Iterator[np.ndarray]]
 
 
 def _frequency_pass(langs: list[str]) -> Pass:
-    """``(place, language, passages)`` of the terms."""
+    """``(term, language, passages)``. A task gives away what it has counted when it holds much; sums are made of all it gives."""
     number = {name: k for k, name in enumerate(langs)}
 
     def run(batches: Iterator[Passages]) -> Iterator[np.ndarray]:
-        counts: dict[int, np.ndarray] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             lang = np.array([number.get(name, -1) for name in batch.langs], np.int64)
             of = np.repeat(lang[batch.owner], batch.sizes)
-            for k in np.unique(of[of >= 0]).tolist():
-                if k not in counts and len(counts) >= 16:
-                    yield from _told_counts(counts)
-                    counts = {}
-                counts.setdefault(k, np.zeros(PLACES, np.int32))
-                counts[k] += np.bincount(places(batch.terms[of == k], k), minlength=PLACES).astype(np.int32)
-        yield from _told_counts(counts)
+            held.append(np.unique(term_keys(batch.terms[of >= 0], of[of >= 0]), return_counts=True))
+            if len(held) > 40:
+                held = [_added(held)]
+                if len(held[0][0]) > HELD_COUNTS:
+                    yield _told_counts(*held.pop())
+        if held:
+            yield _told_counts(*_added(held))
 
     return run
 
 
-def _told_counts(counts: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
-    for k, n in counts.items():
-        place = np.flatnonzero(n)
-        yield np.stack([place, np.full(len(place), k), n[place]], axis=1).astype(np.float64)
+def _told_counts(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.stack([keys & 0x7FFFFFFF, keys >> 31, n], axis=1).astype(np.float64)
 
 
 def _expected_pass(log: np.ndarray | None, votes: dict[int, np.ndarray], n_terms: int, n_subjects: int, agree: bool) -> Pass:
@@ -383,8 +419,8 @@ def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     key, value = np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])
     order = np.argsort(key, kind="stable")
     key, value = key[order], value[order]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[start], np.add.reduceat(value, start)
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[start], np.add.reduceat(value, start) if len(key) else value
 
 
 def _split(x: np.ndarray, mass: np.ndarray, least: float, rng: np.random.Generator) -> np.ndarray | None:
@@ -443,8 +479,10 @@ class Corpus:
     def __init__(self, batches: list[Passages], sizes: dict[str, int]):
         self.batches, self.sizes = batches, sizes
 
-    def sum_of(self, run: Pass, width: int, keys: int) -> np.ndarray:
-        """The rows of a pass, summed for the first ``keys`` of the ``width`` columns, which are whole numbers; without keys as they are."""
+    def sum_of(self, run: Pass, width: int, keys: int, least: float = 0) -> np.ndarray:
+        """The rows of a pass, summed for the first ``keys`` of the ``width`` columns, which are whole numbers; without keys as they are.
+
+        With least only rows whose first sum comes to it."""
         found = list(run(iter(self.batches)))
         rows = np.vstack(found) if found else np.zeros((0, width))
         if not keys:
@@ -452,9 +490,10 @@ class Corpus:
         key, at = np.unique(rows[:, :keys], axis=0, return_inverse=True)
         out = np.zeros((len(key), width - keys))
         np.add.at(out, at.ravel(), rows[:, keys:])
-        return np.hstack([key, out])
+        out = np.hstack([key, out])
+        return out[out[:, keys] >= least] if least else out
 
-    def narrow(self, index: np.ndarray, langs: list[str]) -> Corpus:
+    def narrow(self, index: Index, langs: list[str]) -> Corpus:
         return Corpus([known_rows(b, index, langs) for b in self.batches], self.sizes)
 
 
@@ -493,7 +532,7 @@ class SharedCorpus(Corpus):
     def __init__(self, table: DataFrame, sizes: dict[str, int]):
         self.table, self.sizes = table, sizes
 
-    def sum_of(self, run: Pass, width: int, keys: int) -> np.ndarray:
+    def sum_of(self, run: Pass, width: int, keys: int, least: float = 0) -> np.ndarray:
         names = [f"c{k}" for k in range(width)]
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -504,10 +543,12 @@ class SharedCorpus(Corpus):
         told = self.table.mapInArrow(task, ", ".join(f"{n} {'bigint' if k < keys else 'float' if keys else 'double'}" for k, n in enumerate(names)))
         if keys:
             told = told.groupBy(*names[:keys]).agg(*[F.sum(n).alias(n) for n in names[keys:]])
+        if least:
+            told = told.where(F.col(names[keys]) >= least)
         found = told.toArrow()
         return np.stack([c.to_numpy() for c in found.columns], axis=1) if found.num_rows else np.zeros((0, width))
 
-    def narrow(self, index: np.ndarray, langs: list[str]) -> Corpus:
+    def narrow(self, index: Index, langs: list[str]) -> Corpus:
         shared = self.table.sparkSession.sparkContext.broadcast(index)
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -534,30 +575,29 @@ def _fit(corpus: Corpus, labels: list[tuple[int, str]], subjects: list[str]) ->
     if not rated:
         return nothing
     votes = {i: np.bincount(v, minlength=len(subjects)).astype(np.float32) / len(v) for i, v in rated.items()}
-    counted = corpus.sum_of(_frequency_pass(langs), 3, 2)
-    place, lang, passages = counted[:, 0].astype(np.int64), counted[:, 1].astype(np.int64), counted[:, 2]
+    counted = corpus.sum_of(_frequency_pass(langs), 3, 2, LEAST_PASSAGES)
+    term, lang, passages = counted[:, 0].astype(np.int64), counted[:, 1].astype(np.int64), counted[:, 2]
     documents = np.array([corpus.sizes.get(name, 0) for name in langs], float)
-    kept = (passages >= LEAST_PASSAGES) & (passages <= np.maximum(MOST_SHARE * documents[lang], LEAST_PASSAGES))
-    kept &= (np.bincount(place[kept], minlength=PLACES) == 1)[place]  # a place that two languages fell on speaks for neither
-    order = np.argsort(place[kept])
-    place, lang, passages = place[kept][order], lang[kept][order], passages[kept][order]
-    if not len(place):
+    kept = passages <= np.maximum(MOST_SHARE * documents[lang], LEAST_PASSAGES)
+    order = np.argsort(term_keys(term, lang)[kept])
+    term, lang, passages = term[kept][order], lang[kept][order], passages[kept][order]
+    if not len(term):
         return nothing
-    index = np.full(PLACES, ABSENT, np.int32)
-    index[place] = np.arange(len(place))
+    keys = term_keys(term, lang)
+    index = Index(keys, np.arange(len(keys)))
     corpus = corpus.narrow(index, langs)
     width = len(subjects) + 1
     base = passages / np.bincount(lang, weights=passages, minlength=len(langs))[lang]
     log = None
     for k in range(ROUNDS):
         last = k == ROUNDS - 1
-        told = corpus.sum_of(_expected_pass(log, votes, len(place), len(subjects), last), 1 + width + last * (width - 1), 1)
-        seen = np.zeros((len(place), told.shape[1] - 1))
+        told = corpus.sum_of(_expected_pass(log, votes, len(keys), len(subjects), last), 1 + width + last * (width - 1), 1)
+        seen = np.zeros((len(keys), told.shape[1] - 1))
         seen[told[:, 0].astype(np.int64)] = told[:, 1:]
         chance = seen[:, :width] + SMOOTH * base[:, None]
         whole = np.stack([np.bincount(lang, weights=chance[:, c], minlength=len(langs)) for c in range(width)], axis=1)
         log = np.log(np.maximum(chance / np.maximum(whole[lang], 1e-9), 1e-12)).astype(np.float32)
-    agree = _rows(seen[:, width:])[np.arange(len(place)), seen[:, : width - 1].argmax(axis=1)]
+    agree = _rows(seen[:, width:])[np.arange(len(keys)), seen[:, : width - 1].argmax(axis=1)]
     seen = seen[:, :width]
     stray = agree < AGREEMENT  # a set phrase: the passages around it are about anything
     seen[stray, -1] += seen[stray, :-1].sum(axis=1)
@@ -567,10 +607,9 @@ def _fit(corpus: Corpus, labels: list[tuple[int, str]], subjects: list[str]) ->
     share = _rows(seen[:, :-1] + (seen[:, -1:] + 1.0) / len(subjects))
     top = share.max(axis=1)
     chosen = np.flatnonzero(top >= TERM_SHARE)
-    strong = np.full(len(place), WEAK, np.int32)
+    strong = np.full(len(keys), WEAK, np.int32)
     strong[chosen] = np.arange(len(chosen))
-    model.index = index
-    model.index[place] = strong
+    model.index = Index(keys, strong)
     model.weights = (np.log(np.maximum(documents[lang], passages) / passages + 1) * (top - TERM_SHARE) / (1 - TERM_SHARE))[chosen].astype(np.float32)
     if len(chosen):
         _cluster(model, corpus, strong, share[chosen])
@@ -595,14 +634,22 @@ def _cluster(model: SubjectModel, corpus: Corpus, strong: np.ndarray, share: np.
     leaf = bisect(x, np.maximum(mass, 1e-9).astype(np.float32), LEAVES).astype(np.int64)
     del x
     leaves = int(leaf.max()) + 1
-    centre = np.bincount(row * leaves + leaf[of], weights=value, minlength=n_terms * leaves).reshape(n_terms, leaves).astype(np.float32)
-    centre /= np.maximum(np.linalg.norm(centre, axis=0), 1e-9)
-    model.leaves = (centre * model.weights[:, None]).astype(np.float32)
+    # Only what is there is summed; a block of terms at a time is as wide as all leaves.
+    at, value_of = _added([(row * leaves + leaf[of], value)])
+    value_of /= np.maximum(np.sqrt(np.bincount(at % leaves, weights=value_of**2, minlength=leaves)), 1e-9)[at % leaves]
+    model.leaves = np.zeros((n_terms, leaves), np.float32)
+    model.leaves.ravel()[at] = value_of * model.weights[at // leaves]
     # What stands out in a leaf: terms that weigh more in it than in all documents.
     usual = np.bincount(row, weights=value, minlength=n_terms)
-    centre -= (usual / max(np.linalg.norm(usual), 1e-9)).astype(np.float32)[:, None]
-    np.maximum(centre, 0, out=centre)
-    model.labels = _rows(_rows((centre**2).T @ share.astype(np.float32)) ** 2).astype(np.float32)
+    usual /= max(np.linalg.norm(usual), 1e-9)
+    stands = np.zeros((leaves, share.shape[1]))
+    for first in range(0, n_terms, TERM_BLOCK):
+        last = min(first + TERM_BLOCK, n_terms)
+        some = slice(*np.searchsorted(at, [first * leaves, last * leaves]))
+        block = np.zeros((last - first, leaves))
+        block.ravel()[at[some] - first * leaves] = value_of[some]
+        stands += (np.maximum(block - usual[first:last, None], 0) ** 2).T @ share[first:last]
+    model.labels = _rows(_rows(stands) ** 2).astype(np.float32)
 
 
 def fit_model(documents: list[tuple[int, str]], labels: list[tuple[int, str]], subjects: list[str]) -> SubjectModel:

@@ -796,3 +796,30 @@ def test_query_against_sql(spark, name):
     columns = [c[0] for c in expected.description]
     mine = queries.queries()[name](spark, data).select(*columns).collect()
     assert sorted(map(tuple, mine), key=str) == sorted(expected.fetchall(), key=str)
+
+
+def test_subject_terms_never_meet_however_many_there_are():
+    """A language of few terms keeps its own beside one of millions, which no table of fixed size has places for."""
+    many = np.arange(3_000_000) * 613 % (1 << 31)
+    few = many[:1000]
+    keys = np.concatenate([subjects.term_keys(many, 1), subjects.term_keys(few, 0)])
+    index = subjects.Index(keys, np.arange(len(keys)))
+    assert (index.of(many, 1) == np.arange(len(many))).all() and (index.of(few, 0) == len(many) + np.arange(1000)).all()
+    assert (index.of(many[1000:2000], 0) == subjects.ABSENT).all() and (index.of(few, -1) == subjects.ABSENT).all()
+    batch = subjects.Passages(np.arange(2), ["de", ""], np.concatenate([few[:3], many[1000:1002], few[:1]]).astype(np.int32), np.array([3, 3]), np.array([0, 1]))
+    known = subjects.known_rows(batch, index, ["de", "en"])
+    assert known.terms.tolist() == [3_000_000, 3_000_001, 3_000_002, 1000, 1001, 0]
+
+
+def test_subject_counts_of_a_corpus_are_whole_and_exact():
+    """Counts given away in parts add up, and rare terms are left out by their sum, not by a part."""
+    batches = [subjects.Passages(np.arange(3) + 3 * k, ["de", "en", ""], np.array([7, 7, 9, 8], np.int32), np.array([1, 1, 1, 1]), np.array([0, 1, 1, 2])) for k in range(3)]
+    corpus = subjects.Corpus(batches, {"de": 3, "en": 3, "": 3})
+    held = subjects.HELD_COUNTS
+    try:
+        subjects.HELD_COUNTS = 1
+        told = corpus.sum_of(subjects._frequency_pass(["de", "en"]), 3, 2, 3)
+    finally:
+        subjects.HELD_COUNTS = held
+    assert told.tolist() == [[7, 0, 3], [7, 1, 3], [9, 1, 3]]
+    assert not len(corpus.sum_of(subjects._frequency_pass(["de", "en"]), 3, 2, 4))
