@@ -3,7 +3,8 @@
 Every sentence and line of the corpus is a node. Few nodes are trusted: those whose form alone shows residue (traces,
 filler), those made of nothing but the words of notices and captions, and a short list of usual wordings. Labels spread
 from them: partitioned SimHash tables over all nodes propose links, Hamming distance and text similarity verify them,
-and whoever is linked to a labelled node is labelled in turn, until the trusted nodes' connected components are whole.
+and whoever is linked to a labelled node is labelled in turn, until the trusted nodes' connected components are whole. A trusted node that is linked to an untrusted
+one many times as frequent is a slip of the pen in what that one says, and isn't trusted.
 An unfilled field marks its row only: the sentence around it is content and labels nothing.
 """
 
@@ -183,6 +184,8 @@ TABLES, KEY_BITS = 16, 8
 #: Labelled wordings up to this many, counted first, are sent to all executors to probe the tables; more are joined by shuffle.
 PROBES = 100_000
 MAX_ROUNDS = 60
+#: A wording is taken for a slip of one it is linked to, and trusted no more than that one, if that one is so many times as frequent.
+SLIP_RATIO = 10
 
 
 def segments(text: str) -> list[str]:
@@ -301,6 +304,7 @@ def _pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     A row with a field or a trace gives one row more, without a segment.
     """
+    usual = frozenset(segments(TRUSTED))
     kinds: dict[str, str | None] = {}
     for frame in batches:
         if len(kinds) > 500_000:
@@ -313,7 +317,7 @@ def _pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((key, kind, None))
             for part in dict.fromkeys(segments(text)):
                 if part not in kinds:
-                    kinds[part] = segment_kind(part)
+                    kinds[part] = segment_kind(part) or ("wording" if part in usual else None)
                 rows.append((key, kinds[part], part))
         different = list({part for _, _, part in rows if part is not None})
         hashes = dict(zip(different, letter_simhash(different).tolist(), strict=True))
@@ -333,30 +337,38 @@ def _keys(nodes: DataFrame, reach: int) -> DataFrame:
     return keyed.select("segment", "hash", (((F.col("cls") + F.col("shift")) * TABLES + F.col("t")) * 2**KEY_BITS + F.col("part")).alias("key"))
 
 
-def _linked(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``segment, hash`` of the nodes with a link to a labelled one. Few labelled wordings are sent to the nodes; many are shuffled."""
+def _links(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``segment, hash, known, n`` of the nodes with a link to a labelled one, n being how many there are. Few labelled wordings are sent to the nodes; many are shuffled."""
     few = labelled.limit(PROBES + 1).count() <= PROBES
     probes = _keys(labelled, 1).withColumnsRenamed({"segment": "known", "hash": "known_hash"})
     met = (
         _keys(nodes, 0).join(F.broadcast(probes) if few else probes, "key")
         .where(F.bit_count(F.col("hash").bitwiseXOR(F.col("known_hash"))) <= LINK_BITS)
-        .select("segment", "hash", "known")
-        .distinct()
+        .groupBy("segment", "hash", "known", "key").agg(F.count("*").alias("n"))
+        .groupBy("segment", "hash", "known").agg(F.max("n").alias("n"))
     )
     edits = F.levenshtein("segment", "known")
-    return met.where(edits <= (1 - SIMILARITY) * F.greatest(F.length("segment"), F.length("known"))).select("segment", "hash").distinct()
+    return met.where(edits <= (1 - SIMILARITY) * F.greatest(F.length("segment"), F.length("known")))
 
 
-def spread_labels(nodes: DataFrame, trusted: DataFrame) -> DataFrame:
+def _slips(links: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``segment`` of the trusted wordings (``segment, n``) that are slips of untrusted ones."""
+    most = links.groupBy(F.col("known").alias("segment")).agg(F.max("n").alias("most"))
+    return trusted.join(most, "segment").where(F.col("most") >= SLIP_RATIO * F.col("n")).select("segment")
+
+
+def spread_labels(nodes: DataFrame, trusted: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """The segments of all components of the link graph that hold a trusted one, trusted ones left out.
 
     nodes: ``segment, hash``, repeats allowed; trusted: the same. Each round labels what is linked to the segments labelled
     in the round before, so that the labelled part of the graph alone is searched, and no component is cut short.
+    links: those of the trusted ones, where they are known already.
     """
     frontier = written(trusted.select("segment", "hash").distinct())
     seen, spread = frontier.select("segment"), None
     for _ in range(MAX_ROUNDS):
-        frontier = written(_linked(nodes, frontier).join(seen, "segment", "left_anti"))
+        met = links if links is not None else _links(nodes, frontier)
+        frontier, links = written(met.select("segment", "hash").distinct().join(seen, "segment", "left_anti")), None
         if frontier.isEmpty():
             return spread if spread is not None else frontier.select("segment")
         seen = seen.unionByName(frontier.select("segment"))
@@ -376,12 +388,21 @@ def residue_rows(df: DataFrame, id_col: str = "idx", text_col: str = "text") ->
     found = written(chosen.mapInPandas(_pool, "id bigint, kind string, segment string, hash bigint"))
     usual = segments(TRUSTED)
     seeds = spark.createDataFrame(list(zip(usual, letter_simhash(usual).tolist(), strict=True)), "segment string, hash bigint")
-    trusted = found.where("kind = 'wording'").select("segment", "hash").unionByName(seeds)
-    spread = spread_labels(found.where("segment IS NOT NULL AND kind IS NULL").select("segment", "hash"), trusted)
-    spread = spread.unionByName(seeds.select("segment").distinct())
-    few = spread.limit(PROBES + 1).count() <= PROBES
-    reached = found.where("kind IS NULL").join(F.broadcast(spread) if few else spread, "segment", "left_semi").select("id", F.lit("wording").alias("kind"))
-    return found.where("kind IS NOT NULL").select("id", "kind").unionByName(reached).distinct()
+    counted = written(found.where("kind = 'wording'").groupBy("segment", "hash").agg(F.count("*").alias("n")))
+    nodes = found.where("segment IS NOT NULL AND kind IS NULL").select("segment", "hash")
+    links = written(_links(nodes, counted.select("segment", "hash").unionByName(seeds).distinct()))
+    slips = written(_slips(links, counted.join(seeds, "segment", "left_anti")))
+    links = links.join(slips.withColumnRenamed("segment", "known"), "known", "left_anti")
+    trusted = counted.join(slips, "segment", "left_anti").select("segment", "hash").unionByName(seeds)
+    told = found.where("kind IS NOT NULL")
+    if not slips.isEmpty():
+        told = told.join(slips.withColumn("kind", F.lit("wording")), ["segment", "kind"], "left_anti")
+    spread = spread_labels(nodes, trusted, links)
+    rows = told.select("id", "kind")
+    if (n := spread.limit(PROBES + 1).count()) > 0:
+        reached = found.where("kind IS NULL").join(F.broadcast(spread) if n <= PROBES else spread, "segment", "left_semi")
+        rows = rows.unionByName(reached.select("id", F.lit("wording").alias("kind")))
+    return rows.distinct()
 
 
 def without_residue(df: DataFrame, id_col: str = "idx", text_col: str = "text") -> DataFrame:

@@ -823,3 +823,11 @@ def test_subject_counts_of_a_corpus_are_whole_and_exact():
         subjects.HELD_COUNTS = held
     assert told.tolist() == [[7, 0, 3], [7, 1, 3], [9, 1, 3]]
     assert not len(corpus.sum_of(subjects._frequency_pass(["de", "en"]), 3, 2, 4))
+
+
+def test_residue_slip_in_an_ordinary_sentence_labels_nothing(spark):
+    """One slip makes a notice of an ordinary sentence by its words; the sentence itself is frequent and no residue."""
+    talk, slip, notice = "The error rate went from 4% to 1%", "The error rate went form 4% to 1%", "Please enable JavaScript to view this page"
+    assert residue.segment_kind(residue.segments(slip)[0]) and not residue.segment_kind(residue.segments(talk)[0])
+    texts = [talk] * 30 + [slip] + [notice] * 3 + ["Pleese enable JavaScript to veiw this page"]
+    assert {r.id for r in residue.residue_rows(table(spark, texts)).collect()} == set(range(31, 35))
