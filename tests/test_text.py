@@ -1,6 +1,7 @@
 """Literal cases of the text rules, and random texts against a plain model of them."""
 
 import html
+import random
 import re
 import unicodedata
 from difflib import SequenceMatcher
@@ -177,3 +178,22 @@ def test_popular_characters_are_no_anchors_in_long_texts(size):
     text = "".join(random.Random(1).choice("abcdefghijkl") for _ in range(size))
     assert dedup.similar("z" + text[1:], text) == (size < 200)
     assert dedup.similar("z" + text[1:], text, autojunk=False)
+
+
+def test_short_runs_lose_no_similar_pair():
+    """What single characters and runs of two rule out is not similar, and most of what runs of three let pass is ruled out."""
+    rng = random.Random(5)
+    words = ["alpha", "bravo", "team", "launch", "growth", "the", "and", "of", "great", "über", "काम", "2024"]
+    x = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 60))) for _ in range(60)]
+    y = []
+    for text in x:
+        chars = list(text)
+        for _ in range(rng.randint(0, len(chars) // 8)):
+            at = rng.randrange(len(chars))
+            chars[at : at + 1] = rng.choice([[], ["z"], [chars[at], "q"]])
+            chars = chars or ["a"]
+        y.append("".join(chars))
+    passed = dedup._alike(x, y, 0.9)
+    kept = set(zip(*(k.tolist() for k in dedup._narrowed(x, y, passed, 0.9))))
+    true = {(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if dedup.similar(a, b) or dedup.similar(b, a)}
+    assert true and true <= kept and len(kept) < len(passed[0])
