@@ -831,3 +831,32 @@ def test_residue_slip_in_an_ordinary_sentence_labels_nothing(spark):
     assert residue.segment_kind(residue.segments(slip)[0]) and not residue.segment_kind(residue.segments(talk)[0])
     texts = [talk] * 30 + [slip] + [notice] * 3 + ["Pleese enable JavaScript to veiw this page"]
     assert {r.id for r in residue.residue_rows(table(spark, texts)).collect()} == set(range(31, 35))
+
+
+def test_residue_slip_of_a_slip_labels_nothing(spark):
+    """The frequent sentence is two links away from the trusted slip; the notice, its slip and its other trusted form stay."""
+    talk, slip, twice, notice = "The error rate went from 4% to 1%", "Again the error rate went from 4% to 1%", "Again the error rate from 4% to 1%", "Please enable JavaScript to view this page"
+    kinds = [residue.segment_kind(residue.segments(t)[0]) for t in (talk, slip, twice)]
+    assert kinds == [None, None, "wording"]
+    texts = [talk] * 30 + [slip, slip, twice] + [notice] * 3 + ["Pleese enable JavaScript to veiw this page"]
+    assert {r.id for r in residue.residue_rows(table(spark, texts)).collect()} == set(range(33, 37))
+
+
+def test_labels_reach_what_they_should():
+    told = lambda links, counts, **roles: residue.judged(links, counts, dict.fromkeys(counts, residue.MET) | roles)
+    words, usual = residue.WORDS, residue.USUAL
+    assert told([("t", "u"), ("u", "s")], {"t": 1, "u": 2, "s": 30}, t=words) == set()
+    assert told([("t", "u"), ("u", "s")], {"t": 100, "u": 2, "s": 30}, t=words) == {"t", "u"}
+    assert told([("t", "u"), ("u", "v")], {"t": 100, "u": 2, "v": 1}, t=words) == {"t", "u", "v"}
+    assert told([("t", "u"), ("u", "v"), ("v", "s")], {"t": 1, "u": 5, "v": 9, "s": 40}, t=words) == {"t", "u", "v"}
+    assert told([("t", "s"), ("s", "u")], {"t": 0, "s": 500, "u": 1}, t=usual) == {"t", "s", "u"}
+    assert told([("t", "s"), ("r", "s")], {"t": 0, "s": 500, "r": 1}, t=usual, r=words) == {"t", "s", "r"}
+    assert told([("t", "r"), ("r", "s")], {"t": 60, "r": 1, "s": 30}, t=words, r=words) == {"t", "r"}
+    assert told([("t", "u"), ("u", "s"), ("u", "x"), ("x", "n")], {"t": 1, "u": 1, "s": 90, "x": 1, "n": 50}, t=words, n=words) == {"n", "x"}
+
+
+def test_residue_judged_by_components_is_the_same(spark, monkeypatch):
+    talk, twice, notice = "The error rate went from 4% to 1%", "Again the error rate from 4% to 1%", "Please enable JavaScript to view this page"
+    texts = [talk] * 30 + ["Again the error rate went from 4% to 1%"] * 2 + [twice] + [notice] * 3 + ["Pleese enable JavaScript to veiw this page"]
+    monkeypatch.setattr(residue, "PROBES", 0)
+    assert {r.id for r in residue.residue_rows(table(spark, texts)).collect()} == set(range(33, 37))
