@@ -1,11 +1,13 @@
 """Literal cases of the text rules, and random texts against a plain model of them."""
 
 import html
+import pickle
 import random
 import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import numbers
 from postmill.functions import text as T
-from postmill.operators import dedup, quality
+from postmill.operators import dedup, quality, sketch
 
 
 def rows(spark, texts):
@@ -197,3 +199,45 @@ def test_short_runs_lose_no_similar_pair():
     kept = set(zip(*(k.tolist() for k in dedup._narrowed(x, y, passed, 0.9))))
     true = {(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if dedup.similar(a, b) or dedup.similar(b, a)}
     assert true and true <= kept and len(kept) < len(passed[0])
+
+
+def _varied(rng, count, longest):
+    """Texts of words, some of them changed a little, some much."""
+    words = ["alpha", "bravo", "team", "launch", "growth", "the", "and", "of", "great", "über", "काम", "2024", "quixz", "jov"]
+    texts: list[str] = []
+    for _ in range(count):
+        chars = list(rng.choice(texts) if texts and rng.random() < 0.6 else " ".join(rng.choice(words) for _ in range(rng.randint(1, longest))))
+        for _ in range(rng.randint(0, len(chars) // 9 + 1)):
+            at = rng.randrange(len(chars))
+            chars[at : at + 1] = rng.choice([[], ["z"], [chars[at], "q"], ["e"]])
+            chars = chars or ["a"]
+        texts.append("".join(chars))
+    return sorted(set(texts))
+
+
+@pytest.mark.parametrize("autojunk", [True, False])
+def test_sketches_lose_no_similar_pair(autojunk):
+    """Of all pairs, few are left to be compared letter by letter, and all similar ones are among them."""
+    texts = _varied(random.Random(3 + autojunk), 160, 120)
+    groups = sketch.centres(texts, 5)
+    columns = sketch.sketches(texts, autojunk, groups)
+    table = pa.table({"idx": pa.array(range(len(texts)))} | {k: pa.array(v) for k, v in columns.items()})
+    found = pickle.loads(pickle.dumps(sketch.Sketches(table)))
+    kept = set()
+    for start in range(0, len(found), 50):
+        for a, b in sketch.candidates(found, found, start, min(start + 50, len(found)), 0.9, groups, True):
+            kept |= set(zip(a.tolist(), b.tolist(), strict=True)) | set(zip(b.tolist(), a.tolist(), strict=True))
+    true = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and dedup.similar(a, b, autojunk=autojunk)}
+    assert true and true <= kept and len(kept) < len(texts) ** 2 / 5
+
+
+def test_similar_pairs_of_many_chunks(spark, monkeypatch):
+    """Whatever is sent at once, the pairs are those of a comparison of all texts, in both orders."""
+    texts = _varied(random.Random(11), 120, 60)
+    posts = spark.createDataFrame(list(enumerate(texts)), "idx bigint, fp string").repartition(3)
+    true = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and dedup.similar(a, b)}
+    for chunk, span in ((10**6, 10**6), (17, 9)):
+        monkeypatch.setattr(dedup, "CHUNK", chunk)
+        monkeypatch.setattr(dedup, "SPAN", span)
+        got = [(r.newer, r.older) for r in dedup.similar_pairs(posts).collect()]
+        assert len(got) == len(true) and set(got) == true
