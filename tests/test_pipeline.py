@@ -111,6 +111,14 @@ def test_batch(spark):
     assert enrich.process_posts(frame.where("idx < 0"), clients()).posts.count() == 0
 
 
+def test_posts_without_a_text_are_not_asked_about(spark):
+    """What is no post by quality comes along with a null text, in the same table as the answers."""
+    frame = spark.createDataFrame([(0, RICH, None), (1, None, "too_short")], "idx bigint, text string, reason string")
+    found = {r.idx: r for r in enrich.enrich(frame, clients(), retries=1).collect()}
+    assert found[0].answer_language == "English" and found[0].attempts == 1
+    assert found[1].answer_language is None and found[1].attempts == 0 and found[1].reason == "too_short"
+
+
 def test_retries():
     calls = []
 
